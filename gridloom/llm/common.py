@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,17 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the session names.
-
-    A folder of our own is used only where none is set and the session is local.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a folder of our own only where none is set and the session is local."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+    if named := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
+        return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in that folder, for tables of one run."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -86,6 +97,35 @@ class WordIndex(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+#: Words, as most operators here count them: runs of letters, digits and underscores of the lower-cased text.
+words_of = re.compile(r"\w+").findall
+
+
+class WordHashes:
+    """64-bit hashes of words, kept by word."""
+
+    def __init__(self, keep: int = 400_000):
+        self.reset()
+        self.index = WordIndex(self._add, self.reset, keep)
+
+    def reset(self) -> None:
+        self.values = array("Q")
+
+    def _add(self, word: str) -> None:
+        import xxhash
+
+        self.values.append(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")))
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        rows = self.index.rows(words)
+        return np.frombuffer(self.values, np.uint64)[rows] if len(rows) else np.zeros(0, np.uint64)
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words in a row, where each text begins, with the end)."""
+        each = [words_of(t.lower()) if t else [] for t in texts]
+        return self([w for ws in each for w in ws]), np.cumsum([0] + [len(ws) for ws in each])
+
+
 def csr_take(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Concatenate pool[starts[i]:starts[i] + lens[i]] over i."""
     total = int(lens.sum())
@@ -137,3 +177,17 @@ def components(edges: DataFrame, one_task_edges: int = 2_000_000) -> DataFrame:
             break
         before = mark
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())
+
+
+def filter_texts(df: DataFrame, text_col: str, make: Callable[[], Callable]) -> DataFrame:
+    """The rows of ``df``, all columns, for whose text the function that ``make()`` returns gives a true value."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            flags = [bool(x) for a, b in slices(texts) for x in keep(texts[a:b])]
+            yield batch.filter(pa.array(flags, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
