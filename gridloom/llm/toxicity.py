@@ -1,24 +1,27 @@
 """Toxicity by a counterfactually regularised logistic classifier.
 
-A document's features are its distinct words. The fit minimises the logistic loss over labelled documents, a ridge
+A document's features are its words and their prefixes of 4 to 8 letters; a feature's value is its share of the
+document's words, times ``RATE``, at most 1. The fit minimises the logistic loss over labelled documents, a ridge
 term, and for each labelled document that names an identity group the squared change of its score when the group's
 term is swapped for another of the same kind. So a score doesn't hang on which group a text mentions, and neutral
 mentions are rejected less often.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE``, those of least hash of the id), in one task, with
-the ``FEATURES`` words that are most associated with the label (chi-squared above ``CHI2``, in at least ``MIN_DOCS``
-documents) and all identity terms seen. Scoring reads all documents.
+the ``FEATURES`` features that are most associated with the label (chi-squared above ``CHI2``, in at least
+``MIN_DOCS`` documents, counting documents where the value is a quarter or more) and all identity terms seen. Scoring
+reads all documents.
 
 The result has a row for each row of the input: (doc_id, score, toxic). score is the log odds, to six digits.
 
-Cases: a null text has a null score and isn't toxic; an empty one has the intercept. Labels that are null, of other
-values than 0 and 1, or of no document are left out; labels that repeat count each. Without labelled documents of both
-classes every score is 0 and nothing is toxic. Texts of any length are taken whole; an empty table gives an empty one;
-other columns are ignored, and kept by ``keep_clean``.
+Cases: a null text has a null score and isn't toxic; one without words has the intercept. Labels that are null, of
+other values than 0 and 1, or of no document are left out; labels that repeat count each. Without labelled documents
+of both classes every score is 0 and nothing is toxic. Texts of any length are taken whole; an empty table gives an
+empty one; other columns are ignored, and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import filter_texts, map_texts, words_of
+from gridloom.llm.common import WordIndex, csr_take, filter_texts, map_texts, words_of
 
 SAMPLE, FEATURES, MIN_DOCS, CHI2 = 10_000, 1024, 5, 10.83
-RIDGE, FAIR, ROUNDS = 1e-3, 5.0, 30
+RIDGE, FAIR, ROUNDS, RATE = 1e-4, 5.0, 30, 50.0
 #: Terms of a row stand for groups of one kind; a swap takes the next of the row.
 IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic"),
@@ -52,42 +55,63 @@ SWAP = {w: row[(k + 1) % len(row)] for row in IDENTITY for k, w in enumerate(row
 Model = tuple[float, dict[str, float]]
 
 
-def swapped(words: set[str]) -> set[str]:
-    return {SWAP.get(w, w) for w in words}
+def features_of(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in range(4, 9) if len(word) > k)]
 
 
-def train(rows: list[tuple[list[str], int]], fair: float = FAIR, ridge: float = RIDGE, features: int = FEATURES, min_docs: int = MIN_DOCS, chi2: float = CHI2) -> Model:
-    """(intercept, weight by word) from (distinct words, label) rows, by Newton's method."""
+def values(words: dict[str, int]) -> dict[str, float]:
+    """Feature values of a document, from its word counts."""
+    out: Counter = Counter()
+    for w, c in words.items():
+        for f in features_of(w):
+            out[f] += c
+    n = sum(words.values())
+    return {f: min(1.0, RATE * c / n) for f, c in out.items()}
+
+
+def swapped(words: dict[str, int]) -> dict[str, int]:
+    out: Counter = Counter()
+    for w, c in words.items():
+        out[SWAP.get(w, w)] += c
+    return out
+
+
+def train(rows: list[tuple[dict[str, int], int]], fair: float = FAIR, ridge: float = RIDGE, features: int = FEATURES, min_docs: int = MIN_DOCS, chi2: float = CHI2) -> Model:
+    """(intercept, weight by feature) from (word counts, label) rows, by Newton's method."""
     y = np.array([t for _, t in rows], float)
     if not rows or y.min() == y.max():
         return 0.0, {}
     n, pos = len(y), y.sum()
-    both, hit = Counter(), Counter()
+    both, hit, terms = Counter(), Counter(), set()
     for ws, t in rows:
-        both.update(ws)
+        strong = [f for f, v in values(ws).items() if v >= 0.25]
+        both.update(strong)
+        terms |= SWAP.keys() & ws.keys()
         if t:
-            hit.update(ws)
+            hit.update(strong)
     scored = []
-    for w, c in both.items():
-        if c >= min_docs:
-            a = hit[w]
+    for f, c in both.items():
+        if c >= min_docs and f not in SWAP:
+            a = hit[f]
             b, d = c - a, pos - a
             den = c * (n - c) * pos * (n - pos)
             x = n * (a * (n - pos - b) - b * d) ** 2 / den if den else 0.0
-            if x >= chi2 and w not in SWAP:
-                scored.append((-x, w))
-    vocabulary = [w for _, w in sorted(scored)[:features]] + sorted({x for w in both if w in SWAP for x in (w, SWAP[w])})
-    at = {w: k + 1 for k, w in enumerate(vocabulary)}
+            if x >= chi2:
+                scored.append((-x, f))
+    vocabulary = [f for _, f in sorted(scored)[:features]] + sorted({x for w in terms for x in (w, SWAP[w])})
+    at = {f: k + 1 for k, f in enumerate(vocabulary)}
 
-    def matrix(sets: list) -> np.ndarray:
-        x = np.zeros((len(sets), len(at) + 1))
+    def matrix(docs: list[dict[str, int]]) -> np.ndarray:
+        x = np.zeros((len(docs), len(at) + 1))
         x[:, 0] = 1
-        for r, ws in enumerate(sets):
-            x[r, [at[w] for w in ws if w in at]] = 1
+        for r, ws in enumerate(docs):
+            for f, v in values(ws).items():
+                if f in at:
+                    x[r, at[f]] = v
         return x
 
     x = matrix([ws for ws, _ in rows])
-    named = [set(ws) for ws, _ in rows if not SWAP.keys().isdisjoint(ws)]
+    named = [ws for ws, _ in rows if not SWAP.keys().isdisjoint(ws)]
     delta = matrix(named) - matrix([swapped(s) for s in named])
     penalty = np.full(len(at) + 1, ridge)
     penalty[0] = 1e-9
@@ -100,13 +124,41 @@ def train(rows: list[tuple[list[str], int]], fair: float = FAIR, ridge: float =
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), {v: float(w[k]) for v, k in at.items()}
-
-
-def score(model: Model, text: str | None) -> float | None:
-    if text is None:
-        return None
-    return round(model[0] + sum(model[1][w] for w in sorted(model[1].keys() & set(words_of(text.lower())))), 6)
+    return float(w[0]), {f: float(w[k]) for f, k in at.items()}
+
+
+class Scorer:
+    """Scores batches of texts; keeps the features of the words seen."""
+
+    def __init__(self, model: Model, keep: int = 400_000):
+        self.intercept = model[0]
+        self.at = {f: k for k, f in enumerate(model[1])}
+        self.weights = np.array(list(model[1].values()), float)
+        self.reset()
+        self.index = WordIndex(self._add, self.reset, keep)
+
+    def reset(self) -> None:
+        self.pool, self.ends = array("i"), array("q", [0])
+
+    def _add(self, word: str) -> None:
+        self.pool.extend([self.at[f] for f in features_of(word) if f in self.at])
+        self.ends.append(len(self.pool))
+
+    def texts(self, texts: list[str | None]) -> list[float | None]:
+        each = [words_of(t.lower()) if t else [] for t in texts]
+        rows = self.index.rows([w for ws in each for w in ws])
+        n = np.array([len(ws) for ws in each], np.int64)
+        total = np.full(len(texts), self.intercept)
+        if len(rows) and len(self.weights) and len(self.pool):
+            ends = np.frombuffer(self.ends, np.int64)
+            size = ends[rows + 1] - ends[rows]
+            some = np.flatnonzero(size)
+            found = csr_take(np.frombuffer(self.pool, np.int32), ends[rows[some]], size[some]).astype(np.int64)
+            doc = np.repeat(np.repeat(np.arange(len(texts)), n)[some], size[some])
+            key, count = np.unique(doc * len(self.weights) + found, return_counts=True)
+            doc, found = np.divmod(key, len(self.weights))
+            total += np.bincount(doc, np.minimum(1.0, RATE * count / n[doc]) * self.weights[found], len(texts))
+        return [None if t is None else round(s, 6) for t, s in zip(texts, total.tolist())]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, fair: float = FAIR) -> Model:
@@ -117,15 +169,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def split():
         def work(ys, ids, texts):
-            return pa.RecordBatch.from_arrays([pa.array([sorted(set(words_of(t.lower()))) for t in texts], pa.list_(pa.string())), pa.array(ys, pa.int32()), pa.array(ids, pa.int64())], names=["words", "y", "i"])
+            counts = [sorted(Counter(words_of(t.lower())).items()) for t in texts]
+            return pa.RecordBatch.from_arrays([pa.array([[w for w, _ in c] for c in counts], pa.list_(pa.string())), pa.array([[k for _, k in c] for c in counts], pa.list_(pa.int32())), pa.array(ys, pa.int32()), pa.array(ids, pa.int64())], names=["words", "n", "y", "i"])
 
         return work
 
-    sets = map_texts(rows, ["y", F.col("i").cast("long").alias("i"), "text"], split, "words array<string>, y int, i long")
+    sets = map_texts(rows, ["y", F.col("i").cast("long").alias("i"), "text"], split, "words array<string>, n array<int>, y int, i long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sorted((r for b in batches for r in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), b.column(0).to_pylist())))
-        intercept, weights = train([(ws, y) for _, y, ws in seen], fair)
+        seen = sorted(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in (3, 2, 0, 1))))
+        intercept, weights = train([(dict(zip(ws, ns)), y) for _, y, ws, ns in seen], fair)
         yield pa.RecordBatch.from_arrays([pa.array([None, *weights], pa.string()), pa.array([intercept, *weights.values()], pa.float64())], names=["word", "weight"])
 
     # repartition, so that the words are found by many tasks and only the fit is one
@@ -137,8 +190,10 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(doc_id, score, toxic) of every row."""
 
     def make():
+        scorer = Scorer(model)
+
         def work(ids, texts):
-            s = [score(model, t) for t in texts]
+            s = scorer.texts(texts)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s, pa.float64()), pa.array([x is not None and x > 0 for x in s], pa.bool_())], names=["doc_id", "score", "toxic"])
 
         return work
@@ -148,4 +203,9 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents that aren't toxic."""
-    return filter_texts(docs, text_col, lambda: lambda texts: [not ((s := score(model, t)) is not None and s > 0) for t in texts])
+
+    def make():
+        scorer = Scorer(model)
+        return lambda texts: [s is None or s <= 0 for s in scorer.texts(texts)]
+
+    return filter_texts(docs, text_col, make)
