@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, langid, line_dedup, simhash, sptok, suffix_dedup, toxicity
+from gridloom.llm import decontaminate, embedding_dedup, langid, licenses, line_dedup, repair, simhash, sptok, suffix_dedup, toxicity
 from gridloom.llm.common import table
 
 
@@ -30,16 +30,28 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
+def op9_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.shards(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sptok.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_toxicity, op4_benchmark_decontamination, op5_suffix_array_dedup, op7_language_id, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_toxicity, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_license_scan, op7_language_id, op8_embedding_near_dedup, op9_repair_shards, op10_sentencepiece)}
 
 SQL = {
     "op2_line_dedup": """
@@ -68,4 +80,12 @@ WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') A
 )
 SELECT doc_id, CAST(min(s) - 1 AS BIGINT) AS start, CAST(count(*) + 49 AS BIGINT) AS n_words, fd AS first_doc_id, CAST(min(fs) - 1 AS BIGINT) AS first_start, doc_id = fd AND min(s) = min(fs) AS is_first
 FROM islands GROUP BY doc_id, fd, fs - s, island""",
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= CAST(0.95 AS DOUBLE) * sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a
+)
+SELECT a AS vec_id, min(b) AS group_id, min(b) <> a AS is_duplicate FROM reach GROUP BY a""",
 }
