@@ -1,6 +1,6 @@
 """Token-id output by Re-Pair grammar compression.
 
-Documents are encoded to piece ids and gathered into shards of about ``SHARD_IDS`` ids, in the order of the scan. In
+Documents are encoded to the ids of a public byte-level tokenizer and gathered into shards of about ``SHARD_IDS`` ids, in the order of the scan. In
 each shard the most frequent pairs of neighbouring ids are replaced by nonterminals, again and again, until no pair is
 frequent. A round counts all pairs and replaces those that occur at least ``SHARE`` times as often as the most
 frequent one; of overlapping occurrences the more frequent pair goes first, then the left one. No pair crosses from
@@ -27,38 +27,53 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from gridloom.llm.common import slices
-from gridloom.llm.sptok import MODEL, Codec, Pieces
 
-SHARD_IDS, MIN_COUNT, SHARE = 1 << 21, 8, 0.125
-_SLOTS = 16
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SHARD_IDS, MIN_COUNT, SHARE, GAIN = 1 << 21, 8, 0.25, 0.01
+_SLOTS = 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.int32(2**31 - 1)
 SCHEMA = "shard long, doc_ids array<long>, n_tokens array<int>, doc_ends array<int>, base int, width int, rules binary, lengths binary, symbols binary"
 
 
-def _choose(rank: np.ndarray) -> np.ndarray:
-    """Places of occurrences that don't overlap: the lowest rank first, then the left one."""
-    taken = np.zeros(len(rank) + 1, bool)
-    r = rank.copy()
-    for _ in range(4):
-        left = np.concatenate([[_NONE], r[:-1]])
-        right = np.concatenate([r[1:], [_NONE]])
-        new = np.flatnonzero((r != _NONE) & (r < left) & (r <= right))
-        if not len(new):
+def tokenizer(vocabulary: str = VOCABULARY):
+    """The tokenizer of a file of ranks; special tokens are ordinary text."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(vocabulary, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _choose(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the occurrences at the sorted places ``at`` to replace, none beside another: low rank first, then left."""
+    out = np.zeros(len(at), bool)
+    left = np.arange(len(at))
+    for _ in range(3):
+        p, r = at[left], rank[left]
+        touch = p[1:] == p[:-1] + 1
+        good = np.ones(len(p), bool)
+        good[1:] &= ~touch | (r[1:] < r[:-1])
+        good[:-1] &= ~touch | (r[:-1] <= r[1:])
+        out[left[good]] = True
+        gone = good.copy()
+        gone[1:] |= touch & good[:-1]
+        gone[:-1] |= touch & good[1:]
+        left = left[~gone]
+        if not len(left):
             break
-        taken[new] = True
-        for k in (-1, 0, 1):
-            near = new + k
-            r[near[(near >= 0) & (near < len(r))]] = _NONE
-    return np.flatnonzero(taken[:-1])
+    return np.flatnonzero(out)
 
 
-def compress(seq: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_COUNT, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(seq: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_COUNT, share: float = SHARE, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, document ends, rules [n, 2], expansion lengths) of ids below ``base``."""
     seq, ends = seq.astype(np.int32), ends.astype(np.int64)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
-    made = 0
+    made, floor = 0, 1 << 62
     while len(seq) > 1:
         inside = np.ones(len(seq) - 1, bool)
         cuts = ends[(ends > 0) & (ends < len(seq))]
@@ -69,7 +84,8 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_
         count = np.diff(np.append(at, len(s)))
         if not len(count) or count.max() < min_count:
             break
-        pick = np.flatnonzero(count >= max(min_count, share * count.max()))
+        floor = max(min_count, share * min(floor, count.max()))
+        pick = np.flatnonzero(count >= floor)
         pick = pick[np.lexsort((s[at[pick]], -count[pick]))]
         keys = s[at[pick]]
         slot = ((keys * _MULT) >> np.uint64(64 - _SLOTS)).astype(np.int64)
@@ -80,21 +96,23 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_
         ranks = np.full(1 << _SLOTS, _NONE)
         table[slot], ranks[slot] = keys, np.arange(len(keys), dtype=np.int32)
         mine = ((pair * _MULT) >> np.uint64(64 - _SLOTS)).astype(np.int32)
-        rank = np.where(inside & (table[mine] == pair), ranks[mine], _NONE)
-        put = _choose(rank)
-        uses = np.bincount(rank[put], minlength=len(keys))
-        name = np.full(len(keys), -1, np.int32)
-        good = uses >= 2
-        if not good.any():
+        put = np.flatnonzero(inside & (table[mine] == pair))
+        rank = ranks[mine[put]]
+        chosen = _choose(put, rank)
+        put, rank = put[chosen], rank[chosen]
+        uses = np.bincount(rank, minlength=len(keys))
+        good = uses >= min(3, min_count)
+        if not good.any() or floor == min_count and uses[good].sum() < gain * len(seq):
             break
+        name = np.full(len(keys), -1, np.int32)
         name[good] = base + made + np.arange(good.sum(), dtype=np.int32)
-        put = put[good[rank[put]]]
+        put, rank = put[good[rank]], rank[good[rank]]
         fresh = np.stack([(keys[good] >> np.uint64(32)).astype(np.int32), (keys[good] & np.uint64(0xFFFFFFFF)).astype(np.int32)], axis=1)
         size = [np.where(x < base, 1, lengths[np.maximum(x - base, 0)] if len(lengths) else 1) for x in fresh.T]
         rules.append(fresh)
         lengths = np.concatenate([lengths, size[0] + size[1]])
         made += len(fresh)
-        seq[put] = name[rank[put]]
+        seq[put] = name[rank]
         keep = np.ones(len(seq), bool)
         keep[put + 1] = False
         ends = np.concatenate([[0], np.cumsum(keep)])[ends]
@@ -134,21 +152,21 @@ def _shard(number: int, ids: list, counts: list, flats: list[np.ndarray], base:
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, shard_ids: int = SHARD_IDS) -> DataFrame:
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The shards' rows, as ``SCHEMA`` names them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Pieces.load(model))
-        base, part, k = len(codec.p.out_len), TaskContext.get().partitionId(), 0
+        codec = tokenizer(vocabulary)
+        base, part, k = codec.n_vocab, TaskContext.get().partitionId(), 0
         ids, counts, flats, held = [], [], [], 0
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                flat, n = codec.encode(texts[a:b])
+                coded = [None if t is None else codec.encode_ordinary(t) for t in texts[a:b]]
                 ids += keys[a:b]
-                counts += [None if t is None else c for t, c in zip(texts[a:b], n.tolist())]
-                flats.append(flat)
-                held += len(flat)
+                counts += [None if c is None else len(c) for c in coded]
+                flats.append(np.fromiter((x for c in coded if c for x in c), np.int32))
+                held += len(flats[-1])
                 if held >= shard_ids:
                     yield _shard((part << 32) + k, ids, counts, flats, base)
                     ids, counts, flats, held, k = [], [], [], 0, k + 1
