@@ -34,6 +34,7 @@ WINDOW, MATCH = 16, 0.8
 PART_BYTES = 8 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _BITS = 20
+_HITS = 4_000_000
 
 
 def _seeds(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -44,6 +45,14 @@ def _seeds(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Distinct columns of an array of three rows."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (np.diff(rows, axis=1) != 0).any(axis=0)
+    return rows[:, new]
+
+
 class Seeds:
     """The benchmark's words by item, and its seeds."""
 
@@ -71,17 +80,17 @@ class Seeds:
             p = np.flatnonzero(first[(s >> np.uint64(64 - _BITS)).astype(np.int64)])
             p = p[doc[p] == doc[p + mask[-1]]]
             lo, hi = np.searchsorted(keys, s[p], "left"), np.searchsorted(keys, s[p], "right")
-            q = csr_take(at, lo, hi - lo)
-            p = np.repeat(p, hi - lo)
-            found.append(np.stack([doc[p], self.item[q], p - q]))
+            n = hi - lo
+            ends = np.cumsum(n)
+            a = 0
+            while a < len(p):  # repetitive texts hit often; so many hits at a time, and each offset once
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _HITS, "right")))
+                at_doc, at_item = np.repeat(p[a:b], n[a:b]), csr_take(at, lo[a:b], n[a:b])
+                found.append(_distinct(np.stack([doc[at_doc], self.item[at_item], at_doc - at_item])))
+                a = b
         if not found:
             return (np.zeros(0, np.int64),) * 3
-        d, i, o = np.concatenate(found, axis=1)
-        order = np.lexsort((o, i, d))
-        d, i, o = d[order], i[order], o[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (o[1:] != o[:-1])
-        return d[new], i[new], o[new]
+        return tuple(_distinct(np.concatenate(found, axis=1)))
 
     def overlaps(self, h: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         """(document, item) -> (words covered, first word of the document)."""
