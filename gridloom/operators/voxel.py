@@ -15,12 +15,12 @@ def aggregate(points: DataFrame, axes: dict[str, tuple[Column, float]], tag: str
     """Per cell: count, centroid and majority tag."""
     keys, xs = list(axes), [x for x, _ in axes.values()]
     rows = points.select(*cells(axes), F.col(tag).alias("tag"), *(x.cast("double").alias(f"x{k}") for k, x in enumerate(xs)))
-    by_tag = rows.groupBy(*keys, "tag").agg(F.count("*").alias("c"), *(F.sum(f"x{k}").alias(f"s{k}") for k in range(len(xs))))
+    by_tag = rows.groupBy(*keys, "tag").agg(F.count("*").alias("_c"), *(F.sum(f"x{k}").alias(f"_s{k}") for k in range(len(xs))))
     return by_tag.groupBy(*keys).agg(
-        F.sum("c").alias("n_points"),
+        F.sum("_c").alias("n_points"),
         # the shift takes rounding away from halves, where the order of a sum would show
-        *(F.round(F.sum(f"s{k}") / F.sum("c") + F.lit(1e-10), 6).alias(f"c_{name}") for k, name in enumerate(keys)),
-        F.min_by("tag", F.struct(-F.col("c"), "tag")).alias("majority"),
+        *(F.round(F.sum(f"_s{k}") / F.sum("_c") + F.lit(1e-10), 6).alias(f"c_{name}") for k, name in enumerate(keys)),
+        F.min_by("tag", F.struct(-F.col("_c"), "tag")).alias("majority"),
     )
 
 

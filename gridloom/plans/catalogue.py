@@ -40,7 +40,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EV = "ev AS (SELECT event_id, user_id, event_type, value, props, epoch_us(ts) / 1e6 AS t FROM events)"
-W = Window.partitionBy("user_id").orderBy("t", "event_id")
+W = lambda: Window.partitionBy("user_id").orderBy("t", "event_id")
 OVER = "OVER (PARTITION BY user_id ORDER BY t, event_id)"
 UPTO = "OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)"
 AXES = lambda: {"vx": (F.col("l_quantity"), 5.0), "vy": (F.col("l_discount"), 0.02), "vz": (F.col("l_tax"), 0.02)}
@@ -331,12 +331,12 @@ def topk_nearest(spark, sf_dir):
 WITH {EV}, s AS (SELECT event_id, CASE WHEN lead(t) {OVER} IS NULL THEN NULL WHEN lead(t) {OVER} - t > 0 THEN (lead(value) {OVER} - value) / (lead(t) {OVER} - t) ELSE 0 END AS f, CASE WHEN lag(t) {OVER} IS NULL THEN NULL WHEN t - lag(t) {OVER} > 0 THEN (value - lag(value) {OVER}) / (t - lag(t) {OVER}) ELSE 0 END AS b FROM ev)
 SELECT event_id, round(CASE WHEN f IS NOT NULL AND b IS NOT NULL THEN (f + b) / 2 ELSE coalesce(f, b, 0) END, 6) + 0 AS acceleration FROM s""")
 def speed_acceleration(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.round(series.acceleration(F.col("value"), F.col("t"), W), 6).alias("acceleration"))
+    return events(spark, sf_dir).select("event_id", F.round(series.acceleration(F.col("value"), F.col("t"), W()), 6).alias("acceleration"))
 
 
 @query(f"WITH {EV} SELECT event_id, coalesce(lag(value, 2) {OVER}, value) AS previous, row_number() {OVER} > 2 AS valid FROM ev")
 def previous_frame_fallback(spark, sf_dir):
-    value, valid = series.previous(F.col("value"), W, 2)
+    value, valid = series.previous(F.col("value"), W(), 2)
     return events(spark, sf_dir).select("event_id", value.alias("previous"), valid.alias("valid"))
 
 
@@ -345,19 +345,19 @@ _ARC = f"WITH {EV}, x AS (SELECT *, t / 3600 AS h FROM ev), st AS (SELECT *, coa
 
 @query(_ARC + " SELECT event_id, round(arc, 4) AS arc FROM arc")
 def route_arclength(spark, sf_dir):
-    return series.arc_length(events(spark, sf_dir).withColumn("h", F.col("t") / 3600), F.col("h"), F.col("value"), W).select("event_id", F.round("arc", 4).alias("arc"))
+    return series.arc_length(events(spark, sf_dir).withColumn("h", F.col("t") / 3600), F.col("h"), F.col("value"), W()).select("event_id", F.round("arc", 4).alias("arc"))
 
 
 @query(_ARC + f""", l AS (SELECT *, lag(arc) {OVER} AS la, lag(value) {OVER} AS lv FROM arc)
 SELECT event_id, round(least(arc, 1000), 4) AS arc, round(CASE WHEN arc > 1000 THEN lv + (1000 - la) / (arc - la) * (value - lv) ELSE value END, 4) AS value, arc > 1000 AS boundary FROM l WHERE arc <= 1000 OR (la < 1000 AND arc > 1000)""")
 def route_lookahead(spark, sf_dir):
-    rows = series.arc_length(events(spark, sf_dir).withColumn("h", F.col("t") / 3600), F.col("h"), F.col("value"), W)
-    return series.look_ahead(rows, "arc", "h", "value", W, 1000.0).select("event_id", F.round("arc", 4).alias("arc"), F.round("value", 4).alias("value"), "boundary")
+    rows = series.arc_length(events(spark, sf_dir).withColumn("h", F.col("t") / 3600), F.col("h"), F.col("value"), W())
+    return series.look_ahead(rows, "arc", "h", "value", W(), 1000.0).select("event_id", F.round("arc", 4).alias("arc"), F.round("value", 4).alias("value"), "boundary")
 
 
 @query(f"WITH {EV}, l AS (SELECT event_id, value - lag(value) {OVER} AS d FROM ev) SELECT event_id FROM l WHERE d IS NULL OR sqrt(d * d) > 5")
 def route_dedupe(spark, sf_dir):
-    return series.drop_close(events(spark, sf_dir), F.lit(0.0), F.col("value"), W, 5.0).select("event_id")
+    return series.drop_close(events(spark, sf_dir), F.lit(0.0), F.col("value"), W(), 5.0).select("event_id")
 
 
 _COUNT = f"WITH {EV}, c AS (SELECT *, CAST(floor(value / 50) AS BIGINT) AS total FROM ev), d AS (SELECT *, greatest(total - lag(total, 1, 0) {OVER}, 0) AS fresh FROM c)"
@@ -365,13 +365,13 @@ _COUNT = f"WITH {EV}, c AS (SELECT *, CAST(floor(value / 50) AS BIGINT) AS total
 
 @query(_COUNT + " SELECT event_id, fresh FROM d")
 def collision_delta(spark, sf_dir):
-    return events(spark, sf_dir).withColumn("total", F.floor(F.col("value") / 50)).select("event_id", series.new_events(F.col("total"), W).alias("fresh"))
+    return events(spark, sf_dir).withColumn("total", F.floor(F.col("value") / 50)).select("event_id", series.new_events(F.col("total"), W()).alias("fresh"))
 
 
 @query(_COUNT + f" SELECT event_id, CAST(sum(fresh) {UPTO} AS BIGINT) AS cost FROM d")
 def cost_history(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumn("total", F.floor(F.col("value") / 50)).withColumn("fresh", series.new_events(F.col("total"), W))
-    return rows.select("event_id", F.sum("fresh").over(series.running(W)).alias("cost"))
+    rows = events(spark, sf_dir).withColumn("total", F.floor(F.col("value") / 50)).withColumn("fresh", series.new_events(F.col("total"), W()))
+    return rows.select("event_id", F.sum("fresh").over(series.running(W())).alias("cost"))
 
 
 _OW = "OVER (PARTITION BY o_custkey ORDER BY o_orderkey)"
@@ -397,7 +397,7 @@ def packed_offsets(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT * FROM (SELECT event_id, value AS a, lead(value) {OVER} AS b FROM ev) WHERE b IS NOT NULL")
 def track_segments(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.col("value").alias("a"), F.lead("value").over(W).alias("b")).where("b is not null")
+    return events(spark, sf_dir).select("event_id", F.col("value").alias("a"), F.lead("value").over(W()).alias("b")).where("b is not null")
 
 
 @query("""
@@ -434,7 +434,7 @@ def stall_runs(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT event_id, coalesce(last_value(CASE WHEN value > 300 THEN event_id END IGNORE NULLS) {UPTO}, -1) AS light FROM ev")
 def sticky_light(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.coalesce(series.sticky(F.when(F.col("value") > 300, F.col("event_id")), W), F.lit(-1)).alias("light"))
+    return events(spark, sf_dir).select("event_id", F.coalesce(series.sticky(F.when(F.col("value") > 300, F.col("event_id")), W()), F.lit(-1)).alias("light"))
 
 
 # aggregates
