@@ -1,7 +1,7 @@
 """Signature rules of licence texts: priority | licence | keyword | pattern, in order.
 
-A blank in a pattern stands for any white space. Patterns ignore case. The keyword is in every text that the pattern
-matches, in lower case.
+A blank in a pattern stands for any white space. Patterns ignore case. Every text that the pattern matches holds the
+keyword, or one of those that ";" parts, once it is in lower case and its runs of white space are single blanks.
 """
 
 RULES = r"""
@@ -43,7 +43,7 @@ RULES = r"""
 88|CDDL-1.0|common development|The contents of this file are subject to the terms of the Common Development and Distribution License(?:, version 1\.0)?
 88|CDDL-1.1|common development|Common Development and Distribution License \(?"?CDDL"?\)? version 1\.1
 88|CPL-1.0|common public|made available under the terms of the Common Public License(?: v(?:ersion)? ?1\.0)?
-88|Artistic-2.0|artistic|Copyright \(c\) 2000-2006, The Perl Foundation
+88|Artistic-2.0|perl foundation|Copyright \(c\) 2000-2006, The Perl Foundation
 88|Python-2.0|python software|PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2
 88|PHP-3.01|php license|This source file is subject to version 3\.01 of the PHP license
 88|PHP-3.0|php license|This source file is subject to version 3\.0 of the PHP license
@@ -58,9 +58,9 @@ RULES = r"""
 88|CECILL-2.0|cecill|governed by the CeCILL license under French law
 88|CECILL-B|cecill|governed by the CeCILL-B license
 88|CECILL-C|cecill|governed by the CeCILL-C license
-88|EUPL-1.2|european union public|Licensed under the EUPL,? Version 1\.2|European Union Public Licen[cs]e,? (?:v\.? ?|version )1\.2
+88|EUPL-1.2|european union public;the eupl|Licensed under the EUPL,? Version 1\.2|European Union Public Licen[cs]e,? (?:v\.? ?|version )1\.2
 88|EUPL-1.1|european union public|European Union Public Licen[cs]e,? (?:v\.? ?|version )1\.1
-85|CC0-1.0|public domain|(?:waived all copyright|has dedicated the work to the public domain)[\s\S]{0,80}?CC0
+85|CC0-1.0|cc0|(?:waived all copyright|has dedicated the work to the public domain)[\s\S]{0,80}?CC0
 85|CC-BY-SA-4.0|attribution|Creative Commons Attribution[- ]Share ?Alike 4\.0(?: International)?(?: Public)?(?: License)?
 85|CC-BY-SA-3.0|attribution|Creative Commons Attribution[- ]Share ?Alike 3\.0(?: Unported| United States)?(?: License)?
 85|CC-BY-SA-2.5|attribution|Creative Commons Attribution[- ]Share ?Alike 2\.5(?: Generic)?(?: License)?
@@ -80,13 +80,13 @@ RULES = r"""
 84|CC-BY-2.5|attribution|Creative Commons Attribution 2\.5(?: Generic)?(?: License)?
 84|CC-BY-2.0|attribution|Creative Commons Attribution 2\.0(?: Generic)?(?: License)?
 84|CC-BY-1.0|attribution|Creative Commons Attribution 1\.0(?: Generic)?(?: License)?
-84|CC-BY-4.0|cc by|\bCC[ -]BY[ -]4\.0\b
-84|CC-BY-3.0|cc by|\bCC[ -]BY[ -]3\.0\b
-84|CC-BY-SA-4.0|cc by|\bCC[ -]BY[ -]SA[ -]4\.0\b
-84|CC-BY-SA-3.0|cc by|\bCC[ -]BY[ -]SA[ -]3\.0\b
-84|CC-BY-NC-4.0|cc by|\bCC[ -]BY[ -]NC[ -]4\.0\b
-84|CC-BY-NC-SA-4.0|cc by|\bCC[ -]BY[ -]NC[ -]SA[ -]4\.0\b
-84|CC-BY-NC-ND-4.0|cc by|\bCC[ -]BY[ -]NC[ -]ND[ -]4\.0\b
+84|CC-BY-4.0|cc by;cc-by|\bCC[ -]BY[ -]4\.0\b
+84|CC-BY-3.0|cc by;cc-by|\bCC[ -]BY[ -]3\.0\b
+84|CC-BY-SA-4.0|cc by;cc-by|\bCC[ -]BY[ -]SA[ -]4\.0\b
+84|CC-BY-SA-3.0|cc by;cc-by|\bCC[ -]BY[ -]SA[ -]3\.0\b
+84|CC-BY-NC-4.0|cc by;cc-by|\bCC[ -]BY[ -]NC[ -]4\.0\b
+84|CC-BY-NC-SA-4.0|cc by;cc-by|\bCC[ -]BY[ -]NC[ -]SA[ -]4\.0\b
+84|CC-BY-NC-ND-4.0|cc by;cc-by|\bCC[ -]BY[ -]NC[ -]ND[ -]4\.0\b
 84|CC-BY-4.0|cc-by|\bCC-BY-4\.0\b
 84|CC-BY-SA-4.0|cc-by|\bCC-BY-SA-4\.0\b
 84|CC-BY-SA-3.0|cc-by|\bCC-BY-SA-3\.0\b
@@ -243,10 +243,10 @@ RULES = r"""
 55|Artistic|artistic|\bArtistic Licen[cs]e\b
 55|EUPL|european union public|European Union Public Licen[cs]e
 55|OFL|open font|(?:SIL )?Open Font Licen[cs]e
-55|CC-BY-NC-SA|noncommercial|Attribution[- ]Non-?Commercial[- ]Share ?Alike
-55|CC-BY-NC-ND|noncommercial|Attribution[- ]Non-?Commercial[- ]No ?Deriv(?:ative)?s?
+55|CC-BY-NC-SA|noncommercial;non-commercial|Attribution[- ]Non-?Commercial[- ]Share ?Alike
+55|CC-BY-NC-ND|noncommercial;non-commercial|Attribution[- ]Non-?Commercial[- ]No ?Deriv(?:ative)?s?
 55|CC-BY-SA|alike|Creative Commons Attribution[- ]Share ?Alike
-55|CC-BY-NC|noncommercial|Creative Commons Attribution[- ]Non-?Commercial
+55|CC-BY-NC|noncommercial;non-commercial|Creative Commons Attribution[- ]Non-?Commercial
 55|CC-BY|attribution|Creative Commons Attribution(?: Licen[cs]e)?
 50|CC|creative commons|Creative Commons(?: Licen[cs]e)?
 50|LicenseRef-PublicDomain|public domain|(?:released|placed|dedicated|put) (?:in)?to the public domain
@@ -255,7 +255,7 @@ RULES = r"""
 40|LicenseRef-AllRightsReserved|rights reserved|\ball rights reserved\b
 40|LicenseRef-NonCommercial|non-commercial|for non-commercial (?:use|purposes) only
 40|LicenseRef-ResearchOnly|research|for research (?:use|purposes) only
-40|LicenseRef-NoRedistribution|redistribut|may not be (?:copied|reproduced|redistributed)(?:,? (?:copied|reproduced|or|redistributed))* without
+40|LicenseRef-NoRedistribution|may not be|may not be (?:copied|reproduced|redistributed)(?:,? (?:copied|reproduced|or|redistributed))* without
 35|LicenseRef-OpenSource|open source|(?:released|licensed|distributed) under an? open source licen[cs]e
-30|LicenseRef-SeeFile|license|see (?:the )?(?:accompanying )?(?:file )?(?:LICENSE|COPYING)(?:\.(?:txt|md))?(?: file)? for (?:the )?(?:full )?(?:licen[cs]e|details|terms)
+30|LicenseRef-SeeFile|license;copying|see (?:the )?(?:accompanying )?(?:file )?(?:LICENSE|COPYING)(?:\.(?:txt|md))?(?: file)? for (?:the )?(?:full )?(?:licen[cs]e|details|terms)
 """

@@ -1,9 +1,9 @@
 """Licence scans by ordered signature rules.
 
-Each rule has a priority, a licence, a keyword and a pattern. One pass of an automaton over the lower-cased text finds
-the keywords; only rules whose keyword is there run their pattern over the text. Detections are then taken by priority
-(the longer, then the earlier one, then the rule that comes first, of equal ones); one whose interval lies within one
-that is taken already is suppressed.
+Each rule has a priority, a licence, keywords and a pattern. One pass of an automaton over the text in lower case, with
+each run of white space as one blank, finds the keywords; only rules of which a keyword is there run their pattern, over
+the text as it is. Detections are then taken by priority (the longer, then the earlier one, then the rule that comes
+first, of equal ones); one whose interval lies within one that is taken already is suppressed.
 
 The result has a row for each detection that stays: (doc_id, license, rule, priority, start, length). start and length
 count characters. An SPDX tag gives the identifier that it names.
@@ -16,6 +16,7 @@ gives an empty one; columns besides id and text are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import cache
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from gridloom.llm.common import map_texts
 from gridloom.llm.license_rules import RULES
 
-Rule = tuple[int, str, str, re.Pattern]
+Rule = tuple[int, str, tuple[str, ...], re.Pattern]
 
 
 @cache
@@ -35,7 +36,7 @@ def rules(text: str = RULES) -> tuple[Rule, ...]:
         flexible = re.sub(r" \?", r"\\s*", pattern)
         flexible = flexible.replace(" ", r"\s+")
         flexible = re.sub(r"\[([^\]]*)\\s\+([^\]]*)\]", r"[\1\\s\2]", flexible)
-        out.append((int(priority), name, keyword, re.compile(flexible, re.IGNORECASE)))
+        out.append((int(priority), name, tuple(keyword.split(";")), re.compile(flexible, re.IGNORECASE)))
     return tuple(out)
 
 
@@ -48,14 +49,22 @@ def resolve(found: list[tuple[int, int, int, int, str]]) -> list[tuple[int, int,
     return sorted(taken, key=lambda r: (r[1], r[2], r[3]))
 
 
+def fold(text: str) -> str:
+    """The text as keywords are looked up in it: letters that patterns take for each other are one, white space is a blank."""
+    if not text.isascii():
+        text = text.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s")  # the letters that lower() doesn't take to the ASCII letter
+    return " ".join(text.lower().split())
+
+
 class Scanner:
     def __init__(self, table: tuple[Rule, ...] | None = None):
         import ahocorasick
 
         self.rules = rules() if table is None else table
         by: dict[str, list[int]] = {}
-        for k, (_, _, keyword, _) in enumerate(self.rules):
-            by.setdefault(keyword, []).append(k)
+        for k, (_, _, keywords, _) in enumerate(self.rules):
+            for keyword in keywords:
+                by.setdefault(keyword, []).append(k)
         self.automaton = ahocorasick.Automaton()
         for keyword, ks in by.items():
             self.automaton.add_word(keyword, tuple(ks))
@@ -64,9 +73,13 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[int, int, int, int, str]]:
         if not text:
             return []
-        gate = {ks for _, ks in self.automaton.iter(text.lower())}
+        gate = {ks for _, ks in self.automaton.iter(fold(text))}
+        return self.matches(text, {k for ks in gate for k in ks})
+
+    def matches(self, text: str, ks: Iterable[int]) -> list[tuple[int, int, int, int, str]]:
+        """The detections of the rules ``ks`` that stay."""
         found = []
-        for k in sorted(k for ks in gate for k in ks):
+        for k in sorted(ks):
             priority, name, _, pattern = self.rules[k]
             for m in pattern.finditer(text):
                 found.append((priority, m.start(), m.end(), k, m.group("id").rstrip(".") if name == "*SPDX" else re.split(r":\s*", m.group(), maxsplit=1)[1].strip("()") if name == "*SPDX-EXPRESSION" else name))

@@ -161,6 +161,50 @@ def test_licenses(spark):
     assert scan(text) == brute and len(brute) >= 4
 
 
+@pytest.mark.parametrize("text, name", [
+    ("GNU General\nPublic License, version 3", "GPL-3.0"), ("Mozilla\nPublic  License, v. 2.0", "MPL-2.0"), ("CC-BY 4.0", "CC-BY-4.0"), ("CC-BY-SA 4.0", "CC-BY-SA-4.0"),
+    ("Permission is\nhereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT"), ("Licensed under the EUPL, Version 1.2", "EUPL-1.2"),
+    ("Creative Commons Attribution-Non-Commercial", "CC-BY-NC"), ("see COPYING for details", "LicenseRef-SeeFile"), ("may not be copied without", "LicenseRef-NoRedistribution"), ("Copyright (c) 2000-2006, The Perl Foundation", "Artistic-2.0"),
+])
+def test_license_notices_whose_keyword_is_wrapped_or_spelt_otherwise(text, name):
+    assert [x[4] for x in licenses.Scanner().scan(text)] == [name]
+
+
+def _matched_by(tree, rng, blank):
+    """A text that a parsed pattern matches, by random branches and repeats."""
+    out = []
+    for op, a in tree:
+        match str(op):
+            case "LITERAL":
+                out.append(chr(a))
+            case "SUBPATTERN":
+                out.append(_matched_by(a[3], rng, blank))
+            case "BRANCH":
+                out.append(_matched_by(rng.choice(a[1]), rng, blank))
+            case "IN":
+                kind, x = rng.choice(a)
+                out.append({"LITERAL": lambda: chr(x), "RANGE": lambda: chr(rng.randint(*x)), "CATEGORY": lambda: {"CATEGORY_SPACE": blank, "CATEGORY_DIGIT": "7"}.get(str(x), "q")}[str(kind)]())
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += [_matched_by(a[2], rng, blank) for _ in range(rng.randint(a[0], min(int(a[1]), a[0] + 2)))]
+            case other:
+                assert other == "AT", other
+    return "".join(out)
+
+
+def test_license_gate_drops_nothing():
+    """Gated scans are those of all rules, on texts made from each rule with wrapped, doubled and tabbed blanks."""
+    scanner = licenses.Scanner()
+    for k, (_, name, _, rx) in enumerate(licenses.rules()):
+        rng, seen = random.Random(k), 0
+        for _ in range(10):
+            made = _matched_by(re._parser.parse(rx.pattern, re.IGNORECASE), rng, rng.choice([" ", "\n", "  ", "\t", "\u00a0"]))
+            if rx.search(made):
+                seen += 1
+                for text in (made, made.upper(), made.replace("s", "\u017f")):
+                    assert scanner.scan(text) == scanner.matches(text, range(len(scanner.rules))), (name, text)
+        assert seen, name
+
+
 def test_language_id_words_then_grams(spark):
     model = list(langid.count([("en", "the house the dog the cat house dog"), ("de", "der hund das haus der hund das haus")]))
     scorer = langid.Scorer(model)
