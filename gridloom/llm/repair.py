@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from gridloom.llm.common import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-SHARD_IDS, MIN_COUNT, SHARE, GAIN = 1 << 21, 8, 0.25, 0.01
-_SLOTS = 18
+SHARD_IDS, MIN_COUNT, SHARE = 1 << 21, 8, 0.25
+_SLOTS, _LIVE_SLOTS = 18, 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.int32(2**31 - 1)
 SCHEMA = "shard long, doc_ids array<long>, n_tokens array<int>, doc_ends array<int>, base int, width int, rules binary, lengths binary, symbols binary"
@@ -48,62 +48,76 @@ def tokenizer(vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _choose(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Which of the occurrences at the sorted places ``at`` to replace, none beside another: low rank first, then left."""
-    out = np.zeros(len(at), bool)
-    left = np.arange(len(at))
-    for _ in range(3):
-        p, r = at[left], rank[left]
-        touch = p[1:] == p[:-1] + 1
-        good = np.ones(len(p), bool)
-        good[1:] &= ~touch | (r[1:] < r[:-1])
-        good[:-1] &= ~touch | (r[:-1] <= r[1:])
-        out[left[good]] = True
-        gone = good.copy()
-        gone[1:] |= touch & good[:-1]
-        gone[:-1] |= touch & good[1:]
-        left = left[~gone]
-        if not len(left):
-            break
-    return np.flatnonzero(out)
+def _choose(at: np.ndarray, after: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the occurrences at the sorted places ``at``, whose second symbols are at ``after``, to replace, so that none shares a symbol: low rank first, then left.
+
+    Along a chain of overlapping ones, each second one from a low to the next high is taken, going either way.
+    """
+    touch = after[:-1] == at[1:]
+    rises, falls = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    rises[1:] = touch & (rank[:-1] <= rank[1:])
+    falls[:-1] = touch & (rank[1:] < rank[:-1])
+    k = np.arange(len(at), dtype=np.int32)
+    low_left = np.maximum.accumulate(np.where(rises, np.int32(0), k))
+    low_right = np.minimum.accumulate(np.where(falls, np.int32(len(at)), k)[::-1])[::-1]
+    return np.flatnonzero(((k - low_left) | (low_right - k)) & 1 == 0)
+
 
+def _slots(pair: np.ndarray, bits: int) -> np.ndarray:
+    return ((pair * _MULT) >> np.uint64(64 - bits)).astype(np.int32)
 
-def compress(seq: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_COUNT, share: float = SHARE, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, document ends, rules [n, 2], expansion lengths) of ids below ``base``."""
-    seq, ends = seq.astype(np.int32), ends.astype(np.int64)
+
+def compress(seq: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_COUNT, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, document ends, rules [n, 2], expansion lengths) of ids below ``base``.
+
+    A replacement makes new pairs only beside its nonterminal and no old pair more frequent. So a round counts no places
+    but those whose pair was frequent in the last one and those beside what it replaced, and yet counts all frequent pairs.
+    """
+    seq, ends, n = seq.astype(np.int32), ends.astype(np.int64), len(seq)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
     made, floor = 0, 1 << 62
-    while len(seq) > 1:
-        inside = np.ones(len(seq) - 1, bool)
-        cuts = ends[(ends > 0) & (ends < len(seq))]
-        inside[cuts - 1] = False
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
-        s = np.sort(pair[inside])
-        at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-        count = np.diff(np.append(at, len(s)))
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # neighbours; n is none
+    starts = np.append(0, ends[ends < n])
+    before[starts], after[ends[ends > 0] - 1] = n, n
+    keep, live = np.ones(n, bool), np.ones(n + 1, bool)
+    while True:
+        live[n] = False
+        at = np.flatnonzero(live)
+        at = at[after[at] < n]
+        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[after[at]].astype(np.uint64)
+        s = np.sort(pair)
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(s)))
         if not len(count) or count.max() < min_count:
             break
+        frequent = np.zeros(1 << _LIVE_SLOTS, bool)
+        frequent[_slots(s[first[count >= min_count]], _LIVE_SLOTS)] = True  # a rare pair that shares a slot is merely counted again
+        stays = frequent[_slots(pair, _LIVE_SLOTS)]
+        live[at[~stays]] = False
+        at, pair = at[stays], pair[stays]
         floor = max(min_count, share * min(floor, count.max()))
         pick = np.flatnonzero(count >= floor)
-        pick = pick[np.lexsort((s[at[pick]], -count[pick]))]
-        keys = s[at[pick]]
-        slot = ((keys * _MULT) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        _, first = np.unique(slot, return_index=True)  # of pairs that share a slot the more frequent one; the others wait
-        first.sort()
-        keys, slot = keys[first], slot[first]
+        pick = pick[np.lexsort((s[first[pick]], -count[pick]))]
+        keys = s[first[pick]]
+        slot = _slots(keys, _SLOTS)
+        _, one = np.unique(slot, return_index=True)  # of pairs that share a slot the more frequent one; the others wait
+        one.sort()
+        keys, slot = keys[one], slot[one]
         table = np.zeros(1 << _SLOTS, np.uint64)
         ranks = np.full(1 << _SLOTS, _NONE)
         table[slot], ranks[slot] = keys, np.arange(len(keys), dtype=np.int32)
-        mine = ((pair * _MULT) >> np.uint64(64 - _SLOTS)).astype(np.int32)
-        put = np.flatnonzero(inside & (table[mine] == pair))
-        rank = ranks[mine[put]]
-        chosen = _choose(put, rank)
+        mine = _slots(pair, _SLOTS)
+        hit = np.flatnonzero((table[mine] == pair) & (ranks[mine] != _NONE))
+        put, rank = at[hit], ranks[mine[hit]]
+        chosen = _choose(put, after[put], rank)
         put, rank = put[chosen], rank[chosen]
         uses = np.bincount(rank, minlength=len(keys))
         good = uses >= min(3, min_count)
-        if not good.any() or floor == min_count and uses[good].sum() < gain * len(seq):
-            break
+        if not good.any():
+            if floor == min_count:
+                break
+            continue
         name = np.full(len(keys), -1, np.int32)
         name[good] = base + made + np.arange(good.sum(), dtype=np.int32)
         put, rank = put[good[rank]], rank[good[rank]]
@@ -112,12 +126,14 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_
         rules.append(fresh)
         lengths = np.concatenate([lengths, size[0] + size[1]])
         made += len(fresh)
+        gone = after[put]
         seq[put] = name[rank]
-        keep = np.ones(len(seq), bool)
-        keep[put + 1] = False
-        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
-        seq = seq[keep]
-    return seq, ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.int32), lengths
+        keep[gone] = live[gone] = False
+        after[put] = after[gone]
+        before[after[put]] = put
+        live[put] = live[before[put]] = True
+    ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+    return seq[keep], ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.int32), lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:

@@ -259,6 +259,43 @@ def test_repair_rules_are_frequent_pairs():
     assert all(len(repair.expand(np.array([10 + k]), rules, 10)) == n for k, n in enumerate(lengths))
 
 
+def _pairs_left(symbols, ends):
+    return Counter(p for a, b in zip([0, *ends], ends) for p in zip(symbols[a:b].tolist(), symbols[a + 1 : b].tolist()))
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    """Ten copies of a passage in a shard of other ids, and a long run: each round of theirs shortens the shard by far less than 1 %."""
+    rng = np.random.default_rng(1)
+    passage = rng.permutation(2000) + 1000
+    parts = [x for _ in range(10) for x in (rng.integers(3000, 1_000_000, 40_000), passage)] + [np.zeros(5000, np.int64), np.arange(0)]
+    seq, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    s, e, rules, lengths = repair.compress(seq, ends, 1_000_000)
+    assert max(_pairs_left(s, e).values()) < repair.MIN_COUNT
+    assert len(s) < 400_000 + 10 * 8 + 32
+    assert repair.expand(s, rules, 1_000_000).tolist() == seq.tolist()
+    assert all(len(repair.expand(s[a:b], rules, 1_000_000)) == len(p) for a, b, p in zip([0, *e], e, parts))
+
+
+def test_repair_leaves_no_frequent_pair_of_small_alphabets():
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        seq, ends = rng.integers(0, 1 + seed % 6, 3000), np.sort(np.append(rng.integers(0, 3001, seed % 5), 3000))
+        s, e, rules, lengths = repair.compress(seq, ends, 6)
+        assert max(_pairs_left(s, e).values(), default=0) < repair.MIN_COUNT
+        assert [repair.expand(s[a:b], rules, 6).tolist() for a, b in zip([0, *e], e)] == [seq[a:b].tolist() for a, b in zip([0, *ends], ends)]
+
+
+def test_repair_takes_the_more_frequent_pair_then_the_left_one():
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        at = np.flatnonzero(rng.random(60) < 0.8)
+        rank, want = rng.integers(0, 1 + seed % 9, len(at)), set()
+        for k in np.lexsort((at, rank)):
+            if not want & {at[k] - 1, at[k] + 1}:
+                want.add(at[k])
+        assert at[repair._choose(at, at + 1, rank)].tolist() == sorted(want)
+
+
 def test_sentencepiece_best_segmentation(spark):
     pieces = sptok.Pieces.load()
     score = {}
