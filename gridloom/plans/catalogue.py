@@ -262,6 +262,29 @@ def segment_grid_candidates(spark, sf_dir):
     return joins.segments_near(points, segs, "c_custkey", "user_id", "px", "py", 25.0, 50.0)
 
 
+def _all_lines(spark, sf_dir):
+    """All events as tracks, and customers over all user ids."""
+    ev = events(spark, sf_dir).withColumn("x", F.col("t") / 3600 - 473000)
+    users = ev.agg((F.max("user_id") + 1).alias("users"))
+    points = table(spark, sf_dir, "customer").join(F.broadcast(users)).select("c_custkey", (F.col("c_custkey") % F.col("users")).alias("user_id"), (F.col("c_custkey") % 700 * 1.0).alias("px"), (F.abs("c_acctbal") / 20).alias("py"))
+    return points, joins.segments(ev, "user_id", ["t", "event_id"], "x", "value")
+
+
+_SEG_ALL = _SEG.replace(" WHERE user_id % 3 = 0", "").replace("c_custkey % 50 * 3 AS user_id", "c_custkey % (SELECT max(user_id) + 1 FROM ev) AS user_id")
+
+
+@query(_SEG_ALL + "SELECT c_custkey, seq, round(d, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, seq) AS rn FROM d) WHERE rn = 1")
+def polyline_match_all(spark, sf_dir):
+    points, segs = _all_lines(spark, sf_dir)
+    return joins.nearest_segment(points, segs, "c_custkey", "user_id", "px", "py").select("c_custkey", F.col("seq"), F.round("distance", 4).alias("distance"))
+
+
+@query(_SEG_ALL + "SELECT c_custkey, seq FROM d WHERE d <= 25")
+def segment_grid_candidates_all(spark, sf_dir):
+    points, segs = _all_lines(spark, sf_dir)
+    return joins.segments_near(points, segs, "c_custkey", "user_id", "px", "py", 25.0, 50.0)
+
+
 @query(f"""
 WITH {EV}, b AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM ev GROUP BY user_id
 ), g AS (SELECT user_id, t0 + k * 86400 AS at_t FROM b, range(0, 31) r(k) WHERE t0 + k * 86400 <= t1

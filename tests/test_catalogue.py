@@ -37,3 +37,13 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_others_run(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_whole_polyline_queries_take_all_users(spark, duck):
+    """Each customer whose user has a segment is matched, and each such user is somebody's."""
+    got = {r.c_custkey for r in catalogue.QUERIES["polyline_match_all"](spark, SF).collect()}
+    n = duck.execute("SELECT max(user_id) + 1 FROM events").fetchone()[0]
+    tracks = {u for (u,) in duck.execute("SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 1").fetchall()}
+    customers = {c for (c,) in duck.execute("SELECT c_custkey FROM customer").fetchall()}
+    assert got == {c for c in customers if c % n in tracks}
+    assert {c % n for c in got} == tracks & {c % n for c in customers} and any(u % 3 for u in tracks)
