@@ -293,7 +293,7 @@ SELECT user_id, at_t, round(CASE WHEN tn IS NULL OR tn = t THEN value ELSE value
 def asof_lerp(spark, sf_dir):
     ev = events(spark, sf_dir)
     span = ev.groupBy("user_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    asks = span.select("user_id", "t0", "t1", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("k")).withColumn("at_t", F.col("t0") + F.col("k") * 86400).where("at_t <= t1").select("user_id", "at_t")
+    asks = span.select("user_id", "t0", "t1", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("t1") - F.col("t0")) / 86400) + 1)).alias("k")).withColumn("at_t", F.col("t0") + F.col("k") * 86400).where("at_t <= t1").select("user_id", "at_t")
     return joins.asof_lerp(ev, asks, "user_id", "t", "at_t", "value", "event_id").select("user_id", "at_t", F.round("value", 4).alias("value"))
 
 

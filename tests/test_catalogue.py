@@ -47,3 +47,11 @@ def test_whole_polyline_queries_take_all_users(spark, duck):
     customers = {c for (c,) in duck.execute("SELECT c_custkey FROM customer").fetchall()}
     assert got == {c for c in customers if c % n in tracks}
     assert {c % n for c in got} == tracks & {c % n for c in customers} and any(u % 3 for u in tracks)
+
+
+def test_asof_lerp_asks_over_the_whole_span(spark, tmp_path):
+    """A user whose events span 45 days has 46 values."""
+    ts = [pd.Timestamp("2024-01-01"), pd.Timestamp("2024-01-11"), pd.Timestamp("2024-02-15")]
+    pd.DataFrame({"event_id": [1, 2, 3], "user_id": [7, 7, 7], "event_type": ["a"] * 3, "value": [0.0, 10.0, 45.0], "props": ["{}"] * 3, "ts": pd.Series(ts, dtype="datetime64[us]")}).to_parquet(tmp_path / "events.parquet")
+    got = sorted((r.at_t, r.value) for r in catalogue.QUERIES["asof_lerp"](spark, str(tmp_path)).collect())
+    assert [v for _, v in got] == [float(k) for k in range(46)]
