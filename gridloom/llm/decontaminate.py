@@ -3,7 +3,8 @@
 A mask names the word positions of a short span that are hashed; the others may differ. Hashes of the benchmark's
 words under each mask are looked up in those of the documents. Around a hit the item is laid beside the document at
 the hit's offset, and windows of ``WINDOW`` words (or the whole item, if that is shorter) count as an overlap where at
-least ``MATCH`` of their words agree. So passages with substituted words are found.
+least ``MATCH`` of their words agree. So passages with substituted words are found. Items of fewer than ``SHORT`` words
+are cut into one piece more than words may differ in them: one piece of a copy is whole, so all their copies are found.
 
 The result has one row for each document and item that overlap: (doc_id, item_id, n_covered, item_words, doc_start).
 n_covered counts the item's words inside such windows; doc_start is the document's word where the first one begins.
@@ -12,7 +13,7 @@ Words are runs of letters, digits and underscores of the lower-cased text.
 The hashed benchmark goes to each task while it is small; a larger one is cut into parts of ``PART_BYTES`` and the
 documents are read once for each, so no side that is sent grows without bound. The rows are the same.
 
-Cases: null or empty texts, on either side, overlap nothing, nor do items of fewer words than the shortest mask spans.
+Cases: null or empty texts, on either side, overlap nothing, nor do items without a word.
 Documents or items that repeat have rows each; a null id stays null. Texts of any length are taken whole. An empty
 table on either side gives an empty one. Columns besides id and text are ignored, and kept by ``clean``.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import WordHashes, csr_take, filter_texts, map_texts
 
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 6, 7, 8), (0, 1, 2, 4, 6, 9), (0, 1, 4, 6, 9, 10))
-WINDOW, MATCH = 16, 0.8
+WINDOW, MATCH, SHORT = 16, 0.8, 15
 PART_BYTES = 8 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _BITS = 20
@@ -53,6 +54,18 @@ def _distinct(rows: np.ndarray) -> np.ndarray:
     return rows[:, new]
 
 
+def _pieces(starts: np.ndarray, window: int, match: float) -> dict[int, np.ndarray]:
+    """First words of the pieces of short items, by the number of words of a piece."""
+    out: dict[int, list[int]] = {}
+    for a, n in zip(starts[:-1].tolist(), np.diff(starts).tolist()):
+        if 0 < n < min(SHORT, window + 1):
+            k = min(n, n - math.ceil(match * n - 1e-9) + 1)
+            cuts = [a + n * j // k for j in range(k + 1)]
+            for b, c in zip(cuts, cuts[1:]):
+                out.setdefault(min(c - b, len(_MULT)), []).append(b)
+    return {m: np.array(at, np.int64) for m, at in out.items()}
+
+
 class Seeds:
     """The benchmark's words by item, and its seeds."""
 
@@ -61,9 +74,11 @@ class Seeds:
         self.words, self.starts = WordHashes().texts([t for _, t in items])
         item = np.repeat(np.arange(len(items)), np.diff(self.starts))
         self.index = []
-        for mask in MASKS:
+        spaced = [(mask, None) for mask in MASKS]
+        for mask, at in spaced + [(tuple(range(m)), at) for m, at in _pieces(self.starts, window, match).items()]:
             s = _seeds(self.words, mask)
-            at = np.flatnonzero(item[: len(s)] == item[mask[-1] :]) if len(s) else np.zeros(0, np.int64)
+            if at is None:
+                at = np.flatnonzero(item[: len(s)] == item[mask[-1] :]) if len(s) else np.zeros(0, np.int64)
             at = at[np.argsort(s[at], kind="stable")]
             first = np.zeros(1 << _BITS, bool)
             first[(s[at] >> np.uint64(64 - _BITS)).astype(np.int64)] = True

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out rows, and on the awkward rows."""
 
+import itertools
 import math
 import random
 import re
@@ -129,6 +130,17 @@ def test_decontamination_recall(spark):
     assert parts == got and {r.doc_id for r in decontaminate.clean(d, bench).collect()} == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_decontamination_finds_all_copies_of_short_items():
+    """Items of 1 to 14 words, with each choice of as many substitutions as MATCH accepts; one more is no copy."""
+    for n in range(1, 15):
+        item = [f"i{n}w{k}" for k in range(n)]
+        seeds, most = decontaminate.Seeds([(n, " ".join(item))]), n - math.ceil(decontaminate.MATCH * n - 1e-9)
+        for e in (most, most + 1):
+            texts = [" ".join(["before", *("new" if k in gone else w for k, w in enumerate(item)), "after"]) for gone in itertools.combinations(range(n), e)]
+            found = seeds.overlaps(*common.WordHashes().texts(texts))
+            assert found == ({(d, 0): (n, 1) for d in range(len(texts))} if e == most else {}), (n, e)
+
+
 def test_toxicity_held_out_and_fair():
     rng = random.Random(6)
     bad, groups = ["nastyword", "vileword", "awfulword"], list(toxicity.IDENTITY[3]) + list(toxicity.IDENTITY[0][:2])
