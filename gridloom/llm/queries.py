@@ -87,5 +87,6 @@ WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embedd
   WHERE list_dot_product(a.e, b.e) >= CAST(0.95 AS DOUBLE) * sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))
 ), reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a
 )
-SELECT a AS vec_id, min(b) AS group_id, min(b) <> a AS is_duplicate FROM reach GROUP BY a""",
+SELECT r.a AS vec_id, min(r.b) AS group_id, min(r.b) <> r.a AS is_duplicate, any_value(coalesce(k.n, 0)) AS n_links
+FROM reach r LEFT JOIN (SELECT near.a, count(DISTINCT w.e) AS n FROM near JOIN v w ON near.b = w.vec_id JOIN v u ON near.a = u.vec_id WHERE u.e <> w.e GROUP BY near.a) k ON r.a = k.a GROUP BY r.a""",
 }
