@@ -10,14 +10,16 @@ copies cost nothing; groups are the connected components.
 
 For the search each distinct fingerprint is sent by segment and the segment's high bits (its cell), and also to each
 cell that one of its zero high bits would lead to if it were one. Each pair that differs in a bit there has the zero
-on one side only, so it meets once.
+on one side only, so it meets once. Inside a cell the first two links of the chain together are the join key: they
+differ in at most three bits, so an index over the first link and a half of the second finds them. A pair is
+given by the segment at which its first good chain begins, hence once.
 
-The result has a row for each document: (doc_id, group_id, is_duplicate); group_id is the least doc_id of the group
-and the document that stays.
+The result has a row for each document: (doc_id, group_id, is_duplicate, n_links); group_id is the least doc_id of the
+group and the document that stays, n_links the number of other fingerprints near the document's own.
 
 Cases: a text without words (null, empty, only signs) has no fingerprint and is a group of its own. Documents of a null
 id are groups of their own, too, with a null group_id. Rows that repeat a doc_id are one document if their texts
-are near copies; else the id is in two groups, and the least group_id is given. Ties of the sums are zeros. Texts of any
+are near copies; else the id is in two groups, and the least group_id and the greatest n_links are given. Ties of the sums are zeros. Texts of any
 length are taken whole. An empty table gives an empty one. Columns besides id and text are ignored; ``keep_first``
 keeps them, and of rows that repeat a doc_id that stays it keeps each.
 """
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,11 @@ from gridloom.llm.common import WordIndex, components, csr_take, durable, map_te
 TAU, SEGMENTS, BITS = 19, 10, 128
 #: First bit of each segment, and of none: eight segments of 13 bits, two of 12.
 _CUTS = [0, 13, 26, 39, 52, 65, 78, 91, 104, 116, 128]
-_CELL_BITS, _CHAIN = 6, 5
-_ONE = np.uint64(1)
+_CELL_BITS = 8
+#: High bits of the next segment; the rest are its low bits.
+_HIGH = 6
+#: So few pairs of a cell are compared without an index; the result is the same.
+_FEW = 4096
 
 
 class Fingerprints:
@@ -88,81 +94,164 @@ def _segment(lo: np.ndarray, hi: np.ndarray, k: int) -> np.ndarray:
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, home, lo, hi) rows: a fingerprint at home in a cell of each segment, and its visits to cells one flip up."""
+    """(place, lo, hi) rows: place is 2 * cell for a fingerprint at home in a cell of each segment, 2 * cell + 1 for its visits to cells one flip up."""
     for batch in batches:
         signed = [batch.column(i).to_numpy() for i in (0, 1)]
         lo, hi = (np.ascontiguousarray(x).view(np.uint64) for x in signed)
-        cells, homes, which = [], [], []
         everyone = np.arange(len(lo))
         for k in range(SEGMENTS):
-            low = _CUTS[k + 1] - _CUTS[k] - _CELL_BITS
-            cell = (_segment(lo, hi, k) >> np.uint64(low)).astype(np.int32)
-            cells.append(cell + (k << _CELL_BITS))
-            homes.append(np.ones(len(lo), bool))
+            places, which = [], []
+            cell = (_segment(lo, hi, k) >> np.uint64(_CUTS[k + 1] - _CUTS[k] - _CELL_BITS)).astype(np.int32)
+            places.append(((k << _CELL_BITS) + cell) * 2)
             which.append(everyone)
             for b in range(_CELL_BITS):
                 zero = np.flatnonzero((cell >> b) & 1 == 0)
-                cells.append((cell[zero] | (1 << b)) + (k << _CELL_BITS))
-                homes.append(np.zeros(len(zero), bool))
+                places.append(((k << _CELL_BITS) + (cell[zero] | (1 << b))) * 2 + 1)
                 which.append(zero)
-        w = np.concatenate(which)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(homes)), pa.array(signed[0][w]), pa.array(signed[1][w])], names=["cell", "home", "lo", "hi"])
-
-
-def _verify(lo: np.ndarray, hi: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, tau: int) -> np.ndarray:
-    """Which pairs (a, b) pass the chain that begins at segment k and then the full check; each pair passes for its first chain only."""
-    x, y = lo[a] ^ lo[b], hi[a] ^ hi[b]
-    keep = np.arange(len(a))
-    total = np.zeros(len(a), np.int32)
-    for step in range(_CHAIN):
-        total = total + np.bitwise_count(_segment(x[keep], y[keep], (k + step) % SEGMENTS))
-        good = total * SEGMENTS <= (step + 1) * tau
-        keep, total = keep[good], total[good]
-    full = np.bitwise_count(x[keep]).astype(np.int32) + np.bitwise_count(y[keep])
-    return keep[full <= tau]
-
-
-def _pairs(home: np.ndarray, other: np.ndarray, same: bool, limit: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of equal values in the sorted ``home`` and in ``other``; of one array (``same``) each pair once."""
-    lo = np.arange(1, len(other) + 1) if same else np.searchsorted(home, other, "left")
-    n = np.maximum(np.searchsorted(home, other, "right") - lo, 0)
+            w = np.concatenate(which)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), pa.array(signed[0][w]), pa.array(signed[1][w])], names=["place", "lo", "hi"])
+
+
+_START, _STEP = np.arange(SEGMENTS)[:, None], np.arange(1, SEGMENTS + 1)[None, :]
+
+
+def _first_chain(x: np.ndarray, y: np.ndarray, tau: int) -> np.ndarray:
+    """Of differences (low, high halves) within ``tau``: the first segment at which a chain begins that keeps all its budgets."""
+    each = np.stack([np.bitwise_count(_segment(x, y, k)) for k in range(SEGMENTS)]).astype(np.int16)
+    upto = np.concatenate([np.zeros((1, len(x)), np.int16), np.cumsum(np.concatenate([each, each]), axis=0, dtype=np.int16)])
+    chain = upto[_START + _STEP] - upto[_START]  # [begin, links, pair]
+    return np.argmax((chain * SEGMENTS <= (_STEP * tau)[..., None]).all(axis=1), axis=0)
+
+
+def _table(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in order of their key, where each key's rows begin)."""
+    return np.argsort(key, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(key, minlength=size))])
+
+
+def _hits(table: tuple[np.ndarray, np.ndarray], rows: np.ndarray, keys: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of the table, asking row) of equal keys, so many at a time."""
+    order, begin = table
+    n = begin[keys + 1] - begin[keys]
+    some = np.flatnonzero(n)
+    rows, first, n = rows[some], begin[keys[some]], n[some]
     ends = np.cumsum(n)
     a = 0
-    while a < len(other):
+    while a < len(rows):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
-        idx = np.repeat(np.arange(a, b), n[a:b])
-        if len(idx):
-            yield csr_take(np.arange(len(home)), lo[a:b], n[a:b]), idx
+        yield csr_take(order, first[a:b], n[a:b]), np.repeat(rows[a:b], n[a:b])
         a = b
 
 
+class _Cell:
+    """The fingerprints at home in a cell, by the segment's low bits together with the high or the low bits of the next segment.
+
+    A chain's first two links differ in at most 3 bits together. So beside a flip in the first segment, the next one has
+    equal high bits or at most one flip in its low bits; beside none, at most one flip in its high or in its low bits.
+    """
+
+    def __init__(self, cell: int, lo: np.ndarray, hi: np.ndarray, tau: int):
+        self.k, self.lo, self.hi, self.tau = cell >> _CELL_BITS, lo, hi, tau
+        self.next = (self.k + 1) % SEGMENTS
+        self.low = _CUTS[self.k + 1] - _CUTS[self.k] - _CELL_BITS
+        self.rest = _CUTS[self.next + 1] - _CUTS[self.next] - _HIGH
+        self.two, self.sub, self.a, self.b = self._bits(lo, hi)
+
+    @cached_property
+    def by_a(self):
+        return _table((self.sub << _HIGH) | self.a, 1 << (self.low + _HIGH))
+
+    @cached_property
+    def by_b(self):
+        return _table((self.sub << self.rest) | self.b, 1 << (self.low + self.rest))
+
+    def _bits(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+        first, second = _segment(lo, hi, self.k).astype(np.int32), _segment(lo, hi, self.next).astype(np.int32)
+        return (first << 13) | second, first & ((1 << self.low) - 1), second >> self.rest, second & ((1 << self.rest) - 1)
+
+    def _flipped(self, lo, hi, two, rows, sub, a, b) -> np.ndarray:
+        """Pairs (home row, asking row) that differ in one bit of the segment; ``sub`` holds the low bits to look under."""
+        flips = np.array([0, *(1 << x for x in range(self.rest))], np.int32)
+        found = [self._near(two, i, j) for i, j in _hits(self.by_a, rows, (sub << _HIGH) | a)]
+        found += [self._near(two, i, j) for i, j in _hits(self.by_b, np.repeat(rows, len(flips)), (((sub << self.rest) | b)[:, None] ^ flips).ravel())]
+        return self._check(lo, hi, found)
+
+    def _near(self, two, i, j) -> np.ndarray:
+        """Those that keep the budget of two links."""
+        good = np.bitwise_count(self.two[i] ^ two[j]) * SEGMENTS <= 2 * self.tau
+        return np.stack([i[good], j[good]])
+
+    def _check(self, lo, hi, found: list[np.ndarray]) -> np.ndarray:
+        """Of the pairs, each once, those within tau whose first good chain begins here."""
+        found = [x for x in found if x.shape[1]]
+        if not found:
+            return np.zeros((2, 0), np.int64)
+        key = np.concatenate([x[0].astype(np.int64) * len(lo) + x[1] for x in found])
+        i, j = np.divmod(key, len(lo))
+        x, y = self.lo[i] ^ lo[j], self.hi[i] ^ hi[j]
+        full = np.flatnonzero(np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y) <= self.tau)
+        if not len(full):
+            return np.zeros((2, 0), np.int64)
+        _, one = np.unique(key[full], return_index=True)
+        full = full[one]
+        parts = [full[a : a + 50_000] for a in range(0, len(full), 50_000)]
+        full = np.concatenate([p[_first_chain(x[p], y[p], self.tau) == self.k] for p in parts])
+        return np.stack([i[full], j[full]])
+
+    def _batch(self, pairs, lo, hi) -> Iterator[pa.RecordBatch]:
+        i, j = pairs
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (self.lo[i], self.hi[i], lo[j], hi[j])], names=["alo", "ahi", "blo", "bhi"])
+
+    def guests(self, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Edges to fingerprints that are here by a flip of the segment's high bits."""
+        two, sub, a, b = self._bits(lo, hi)
+        if len(self.lo) * len(lo) <= _FEW:
+            yield from self._batch(self._check(lo, hi, [self._near(two, np.repeat(np.arange(len(self.lo)), len(lo)), np.tile(np.arange(len(lo)), len(self.lo)))]), lo, hi)
+            return
+        yield from self._batch(self._flipped(lo, hi, two, np.arange(len(lo)), sub, a, b), lo, hi)
+
+    def homes(self) -> Iterator[pa.RecordBatch]:
+        """Edges among the fingerprints at home here."""
+        lo, hi, two = self.lo, self.hi, self.two
+        if len(lo) * len(lo) <= _FEW:
+            if len(lo) > 1:
+                yield from self._batch(self._check(lo, hi, [self._near(two, *np.triu_indices(len(lo), 1))]), lo, hi)
+            return
+        rows, bit = np.nonzero((self.sub[:, None] >> np.arange(self.low)) & 1 == 0)
+        yield from self._batch(self._flipped(lo, hi, two, rows, self.sub[rows] | (1 << bit), self.a[rows], self.b[rows]), lo, hi)
+        found = []
+        for table, part, bits in ((self.by_a, self.a, _HIGH), (self.by_b, self.b, self.rest)):
+            key = (self.sub << bits) | part
+            found += [self._near(two, i[i < j], j[i < j]) for i, j in _hits(table, np.arange(len(key)), key)]
+            rows, bit = np.nonzero((part[:, None] >> np.arange(bits)) & 1 == 0)
+            found += [self._near(two, np.minimum(i, j), np.maximum(i, j)) for i, j in _hits(table, rows, key[rows] | (1 << bit))]
+        yield from self._batch(self._check(lo, hi, found), lo, hi)
+
+
 def _search(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
-    """Edges between fingerprints of one partition of cells."""
-    table = pa.Table.from_batches(list(batches), pa.schema([("cell", pa.int32()), ("home", pa.bool_()), ("lo", pa.int64()), ("hi", pa.int64())]))
-    if not table.num_rows:
-        return
-    cell, home, lo, hi = (table.column(i).to_numpy() for i in range(4))
-    lo, hi = lo.view(np.uint64), hi.view(np.uint64)
-    order = np.argsort(cell, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-        k = int(cell[at[0]]) >> _CELL_BITS
-        low = _CUTS[k + 1] - _CUTS[k] - _CELL_BITS
-        sub = (_segment(lo[at], hi[at], k) & np.uint64((1 << low) - 1)).astype(np.int64)
-        h = home[at]
-        mine, rank = at[h], np.argsort(sub[h], kind="stable")
-        mine, key = mine[rank], sub[h][rank]
-        guests, guest_key = at[~h], sub[~h]
-        joins = [(guests, guest_key, False), (mine, key, True)]
-        for b in range(low):
-            zero = (key >> b) & 1 == 0
-            joins.append((mine[zero], key[zero] | (1 << b), False))
-        for rows, keys, same in joins:
-            for i, j in _pairs(key, keys, same):
-                a, b = mine[i], rows[j]
-                good = _verify(lo, hi, a, b, k, tau)
-                if len(good):
-                    a, b = a[good], b[good]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (lo[a], hi[a], lo[b], hi[b])], names=["alo", "ahi", "blo", "bhi"])
+    """Edges between fingerprints, from rows in order of their place. Only the fingerprints at home in one cell are held; guests pass by in batches."""
+    at, held, cell = -1, [], None
+    for batch in batches:
+        place, lo, hi = (batch.column(i).to_numpy() for i in range(3))
+        lo, hi = (np.ascontiguousarray(x).view(np.uint64) for x in (lo, hi))
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            now, guest = divmod(int(place[a]), 2)
+            if now != at or guest:
+                if held:
+                    cell = _Cell(at, *(np.concatenate(x) for x in zip(*held)), tau)
+                    held = []
+                    yield from cell.homes()
+                if now != at:
+                    at, cell = now, None
+            if not guest:
+                held.append((lo[a:b], hi[a:b]))
+            elif cell is not None:
+                yield from cell.guests(lo[a:b], hi[a:b])
+    if held:
+        yield from _Cell(at, *(np.concatenate(x) for x in zip(*held)), tau).homes()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,27 +270,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_pairs(distinct: DataFrame, tau: int = TAU) -> DataFrame:
-    """(alo, ahi, blo, bhi) of the pairs of distinct fingerprints (lo, hi) within ``tau`` bits; a pair may come more than once."""
+    """(alo, ahi, blo, bhi) of the pairs of distinct fingerprints (lo, hi) within ``tau`` bits, each pair once."""
     if tau >= 2 * SEGMENTS:
         raise ValueError(f"tau must be below {2 * SEGMENTS}")
-    spread = distinct.select("lo", "hi").mapInArrow(_spread, "cell int, home boolean, lo long, hi long")
-    return spread.repartition("cell").mapInArrow(lambda b: _search(b, tau), "alo long, ahi long, blo long, bhi long")
+    spread = distinct.select("lo", "hi").mapInArrow(_spread, "place int, lo long, hi long")
+    return spread.repartition(F.shiftright("place", 1)).sortWithinPartitions("place").mapInArrow(lambda b: _search(b, tau), "alo long, ahi long, blo long, bhi long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
-    """(doc_id, group_id, is_duplicate) of every document."""
+    """(doc_id, group_id, is_duplicate, n_links) of every document."""
     prints = durable(fingerprints(docs, id_col, text_col))
     heads = durable(prints.where("doc_id is not null and lo is not null").groupBy("lo", "hi").agg(F.min("doc_id").alias("head")))
     # an id that has two fingerprints may head both; the components join them only if they are near
-    found = near_pairs(heads, tau).distinct()
+    found = durable(near_pairs(heads, tau))
     one = heads.select(F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("head").alias("a"))
     two = heads.select(F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("head").alias("b"))
     roots = components(found.join(one, ["alo", "ahi"]).join(two, ["blo", "bhi"]).select("a", "b"))
-    named = heads.join(roots, heads["head"] == roots["node"], "left").select("lo", "hi", F.coalesce("root", "head").alias("group_id"))
+    links = found.select(F.explode(F.array(F.struct(F.col("alo").alias("lo"), F.col("ahi").alias("hi")), F.struct(F.col("blo").alias("lo"), F.col("bhi").alias("hi")))).alias("x")).groupBy("x.lo", "x.hi").agg(F.count("*").alias("n"))
+    named = heads.join(links, ["lo", "hi"], "left").join(roots, heads["head"] == roots["node"], "left").select("lo", "hi", F.coalesce("root", "head").alias("group_id"), F.coalesce("n", F.lit(0)).alias("n"))
     rows = prints.where("doc_id is not null and lo is not null").join(named, ["lo", "hi"])
-    least = rows.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
-    alone = prints.where("doc_id is null or lo is null").select("doc_id", F.col("doc_id").alias("group_id"))
-    return least.union(alone).select("doc_id", "group_id", F.coalesce(F.col("group_id") != F.col("doc_id"), F.lit(False)).alias("is_duplicate"))
+    least = rows.groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.max("n").alias("n_links"))
+    alone = prints.where("doc_id is null or lo is null").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
+    return least.union(alone).select("doc_id", "group_id", F.coalesce(F.col("group_id") != F.col("doc_id"), F.lit(False)).alias("is_duplicate"), "n_links")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:

@@ -58,7 +58,12 @@ def test_simhash_is_exact(spark):
                 want.add(frozenset((tuple(u[i]), tuple(u[j]))))
     got = simhash.near_pairs(spark.createDataFrame(u.view(np.int64).tolist(), "lo long, hi long")).collect()
     assert {frozenset((tuple(np.array([r.alo, r.ahi]).view(np.uint64)), tuple(np.array([r.blo, r.bhi]).view(np.uint64)))) for r in got} == want and len(want) > 60
-    groups = {r.doc_id: r.group_id for r in simhash.groups(d).collect()}
+    assert len(got) == len(want)
+    rows = simhash.groups(d).collect()
+    groups = {r.doc_id: r.group_id for r in rows}
+    of = {r.doc_id: tuple(np.array([r.lo, r.hi]).view(np.uint64)) for r in simhash.fingerprints(d).collect()}
+    degree = Counter(x for pair in want for x in pair)
+    assert {r.doc_id: r.n_links for r in rows} == {i: degree[f] for i, f in of.items()}
     assert all(groups[100 + 4 * i] == i and not any(groups[j] == i for j in range(30) if j != i) for i in range(30))
     assert {r.doc_id for r in simhash.keep_first(d).collect()} == set(groups.values())
 
