@@ -71,24 +71,22 @@ def box_corners_2d(x, y, ex, ey, yaw) -> list[tuple[Column, Column]]:
 
 
 def box_distance(a: tuple, b: tuple) -> Column:
-    """Signed distance of two boxes (x, y, half length, half width, yaw): of separate ones that of the nearest corner, of overlapping ones minus the least overlap of the four axes."""
-    ca, cb = box_corners_2d(*a), box_corners_2d(*b)
-    overlaps = []
-    for yaw in (a[4], b[4]):
-        c, s = F.cos(F.radians(yaw)), F.sin(F.radians(yaw))
-        for ux, uy in ((c, s), (-s, c)):
-            pa, pb = [ux * x + uy * y for x, y in ca], [ux * x + uy * y for x, y in cb]
-            overlaps.append(F.least(F.greatest(*pa), F.greatest(*pb)) - F.greatest(F.least(*pa), F.least(*pb)))
-    least = F.least(*overlaps)
-
-    def corner_to_box(corners, box):
-        x, y, ex, ey, yaw = box
-        c, s = F.cos(F.radians(yaw)), F.sin(F.radians(yaw))
-        out = []
-        for px, py in corners:
-            lx, ly = c * (px - x) + s * (py - y), -s * (px - x) + c * (py - y)
-            gx, gy = F.greatest(F.abs(lx) - ex, F.lit(0.0)), F.greatest(F.abs(ly) - ey, F.lit(0.0))
-            out.append(F.sqrt(gx * gx + gy * gy))
-        return F.least(*out)
-
-    return F.when(least < 0, F.least(corner_to_box(ca, b), corner_to_box(cb, a))).otherwise(-least)
+    """Signed distance of two boxes (x, y, half length, half width, yaw): of separate ones that of the nearest corner, of overlapping ones minus the least overlap of the four axes.
+
+    Each box is seen in the other's frame, where its reach along an axis is the sum of its half sizes' shares.
+    """
+    ca, sa, turn = F.cos(F.radians(a[4])), F.sin(F.radians(a[4])), F.radians(b[4] - a[4])
+    dx, dy, c, s = b[0] - a[0], b[1] - a[1], F.cos(turn), F.sin(turn)
+    bx, by = dx * ca + dy * sa, dy * ca - dx * sa
+    ax, ay = -(bx * c + by * s), bx * s - by * c
+    ac, as_ = F.abs(c), F.abs(s)
+    overlap = lambda at, own, other: F.least(own, at + other) - F.greatest(-own, at - other)
+    least = F.least(
+        overlap(bx, a[2], b[2] * ac + b[3] * as_), overlap(by, a[3], b[2] * as_ + b[3] * ac), overlap(ax, b[2], a[2] * ac + a[3] * as_), overlap(ay, b[3], a[2] * as_ + a[3] * ac),
+    )
+    gaps = []
+    for i, j, _ in CORNERS[:4]:
+        for px, py, ex, ey in ((bx + i * b[2] * c - j * b[3] * s, by + i * b[2] * s + j * b[3] * c, a[2], a[3]), (ax + i * a[2] * c + j * a[3] * s, ay - i * a[2] * s + j * a[3] * c, b[2], b[3])):
+            gx, gy = F.greatest(F.abs(px) - ex, F.lit(0.0)), F.greatest(F.abs(py) - ey, F.lit(0.0))
+            gaps.append(gx * gx + gy * gy)
+    return F.when(least < 0, F.sqrt(F.least(*gaps))).otherwise(-least)
