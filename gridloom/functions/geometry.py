@@ -90,3 +90,76 @@ def box_distance(a: tuple, b: tuple) -> Column:
             gx, gy = F.greatest(F.abs(px) - ex, F.lit(0.0)), F.greatest(F.abs(py) - ey, F.lit(0.0))
             gaps.append(gx * gx + gy * gy)
     return F.when(least < 0, F.sqrt(F.least(*gaps))).otherwise(-least)
+
+
+def to_ego(dx: Column, dy: Column, yaw: Column) -> tuple[Column, Column]:
+    """A plane vector in the frame of a car of that heading."""
+    c, s = F.cos(F.radians(yaw)), F.sin(F.radians(yaw))
+    return c * dx + s * dy, c * dy - s * dx
+
+
+def to_camera(p: Vec, ego_t: Vec, ego_rot: list[Vec], cam_t: Vec, cam_rot: list[Vec]) -> Vec:
+    """A world point in a camera's frame, by the car's pose and the camera's pose on the car."""
+    return to_local(to_local(p, ego_t, ego_rot), cam_t, cam_rot)
+
+
+def planar_previous_to_current(before: tuple, now: tuple) -> dict[str, Column]:
+    """m11, m12, m21, m22, tx, ty that take plane points of the frame (x, y, yaw) before to the one now."""
+    turn = F.radians(before[2] - now[2])
+    tx, ty = to_ego(before[0] - now[0], before[1] - now[1], now[2])
+    return {"m11": F.cos(turn), "m12": -F.sin(turn), "m21": F.sin(turn), "m22": F.cos(turn), "tx": tx, "ty": ty}
+
+
+def outside_box(local: Vec, extent: Vec) -> Column:
+    """Whether a point, in the box's frame, is beyond it on some axis (strictly)."""
+    return (F.abs(local[0]) > extent[0]) | (F.abs(local[1]) > extent[1]) | (F.abs(local[2]) > extent[2])
+
+
+def in_range(p: Vec, low: tuple, high: tuple) -> Column:
+    """Half open on each axis."""
+    out = F.lit(True)
+    for c, a, b in zip(p, low, high):
+        out = out & (c >= a) & (c < b)
+    return out
+
+
+def in_ego_rectangle(dx: Column, dy: Column, yaw: Column, x: tuple[float, float], y: tuple[float, float]) -> Column:
+    """Whether a plane offset lies in a rectangle of the car's frame, its edges too."""
+    a, b = to_ego(dx, dy, yaw)
+    return a.between(*x) & b.between(*y)
+
+
+def bev_pixel(x: Column, y: Column, rows: int, cols: int, xs: tuple[float, float], ys: tuple[float, float]) -> tuple[Column, Column]:
+    """(row, col), fractional; row 0 is farthest ahead."""
+    return (1 - (x - xs[0]) / (xs[1] - xs[0])) * rows, (y - ys[0]) / (ys[1] - ys[0]) * cols
+
+
+def in_view(x: Column, y: Column, fov: float) -> Column:
+    """Whether a point's bearing is within the field of view; x is held at 1e-3 at least."""
+    return (x > 0) & (F.abs(F.degrees(F.atan2(y, F.greatest(x, F.lit(1e-3))))) <= fov / 2)
+
+
+def back_projection(u: Column, v: Column, depth: Column, fx, fy, cx, cy) -> Vec:
+    """A pixel of known depth as a point (forward, right, up) of the camera."""
+    return depth, (u - cx) * depth / fx, -(v - cy) * depth / fy
+
+
+def depth_point_valid(x: Column, y: Column, depth: Column, most: float, fov: float, least: float = 0.1) -> Column:
+    """least < depth < most, ahead, within the field of view."""
+    return (depth > least) & (depth < most) & (x > 0) & (F.abs(F.degrees(F.atan2(y, x))) <= fov / 2)
+
+
+def boxes_overlap(a: tuple, b: tuple) -> Column:
+    """Whether two axis-parallel rectangles (x0, y0, x1, y1) meet, at an edge too."""
+    return (a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1])
+
+
+def circle_reaches(cx: Column, cy: Column, radius: Column, x: Column, y: Column, reach: float) -> Column:
+    """Whether something within ``radius`` of a centre can be nearer than ``reach``."""
+    return F.hypot(cx - x, cy - y) - radius < reach
+
+
+def stop_line(x: Column, y: Column, yaw: Column, width: Column) -> tuple[Column, Column, Column, Column]:
+    """The ends of a line across a lane."""
+    dx, dy = -F.sin(F.radians(yaw)) * width / 2, F.cos(F.radians(yaw)) * width / 2
+    return x - dx, y - dy, x + dx, y + dy
