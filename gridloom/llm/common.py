@@ -45,9 +45,10 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(small: DataFrame, row_bytes: int) -> DataFrame:
-    """Hint a broadcast of a checkpointed side where its counted size allows it; else leave the shuffle to AQE."""
-    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of our own in the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

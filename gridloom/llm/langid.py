@@ -2,21 +2,20 @@
 
 A word that the model knows scores each language by the log of the word's frequency there. An unseen word falls back
 to its 4-grams, then 3-, 2- and 1-grams: the longest length of which any gram is known gives the mean log frequency of
-those grams. A document's score is the sum over its words, repeats included. The model counts words and n-grams of a
-bounded sample of labelled rows; it keeps the ``WORDS`` most frequent words of each language that occur at least twice
-and the ``GRAMS`` most frequent n-grams of each length.
+those grams. A document's score is the sum over its words, repeats included. The model holds the counts of all words and
+n-grams of a sample of labelled rows: a share of the distinct texts, drawn by their hash, such that ``SAMPLE`` rows are
+expected (all, if there are no more).
 
 The result has a row for each row of the input: (doc_id, predicted, n_words, n_known, margin). margin is the lead over
 the next language, a word.
 
 Cases: a null text gives a null language and null counts; a text without known words or grams gives 'und', as does a
 model without labelled rows. Of equal scores the language that sorts first wins. Texts of any length are taken whole;
-repeated rows are scored each; an empty table gives an empty one; other columns are ignored.
+repeated rows are scored each, and count once in the fit; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from array import array
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import WordIndex, map_texts
 
-#: Labelled rows that the model is fitted on, and the sizes of its tables.
-SAMPLE, WORDS, GRAMS = 10_000, 30_000, 10_000
+#: Labelled rows that the model is fitted on.
+SAMPLE = 10_000
 SMOOTH = 0.5
 letters_of = re.compile(r"[^\W\d_]+").findall
 Model = dict[str, dict[str, dict[str, int]]]
@@ -42,20 +41,23 @@ def grams(word: str, n: int) -> list[str]:
     return [w[k : k + n] for k in range(len(w) - n + 1)]
 
 
-def count(pairs: Iterator[tuple[str, str]], words: int = WORDS, keep: int = GRAMS) -> Iterator[tuple[str, str, str, int]]:
-    """(kind, language, key, count) rows of the model from (language, text) pairs; kind 'w' or the n-gram's length."""
-    seen: dict[str, Counter] = defaultdict(Counter)
-    for lang, text in pairs:
-        seen[lang].update(letters_of(text.lower()))
-    for lang in sorted(seen):
-        top = heapq.nsmallest(words, ((-c, w) for w, c in seen[lang].items() if c > 1))
-        yield from (("w", lang, w, -c) for c, w in top)
+def grams_of(words: Iterator[tuple[str, str, int]]) -> Counter:
+    """Counts by (kind, language, key) of counted (language, word) pairs; kind 'w' for the word, or the n-gram's length."""
+    out: Counter = Counter()
+    for lang, w, c in words:
+        out["w", lang, w] += c
         for n in range(1, 5):
-            g: Counter = Counter()
-            for w, c in seen[lang].items():
-                for x in grams(w, n):
-                    g[x] += c
-            yield from ((str(n), lang, x, -c) for c, x in heapq.nsmallest(keep, ((-c, x) for x, c in g.items())))
+            for x in grams(w, n):
+                out[str(n), lang, x] += c
+    return out
+
+
+def count(pairs: Iterator[tuple[str, str]]) -> list[tuple[str, str, str, int]]:
+    """(kind, language, key, count) rows of the model from (language, text) pairs."""
+    seen: Counter = Counter()
+    for lang, text in pairs:
+        seen.update((lang, w) for w in letters_of(text.lower()))
+    return sorted((*k, c) for k, c in grams_of((lang, w, c) for (lang, w), c in seen.items()).items())
 
 
 class Scorer:
@@ -63,13 +65,15 @@ class Scorer:
         self.langs = sorted({r[1] for r in rows})
         at = {x: k for k, x in enumerate(self.langs)}
         self.tables: dict[str, dict[str, list[float]]] = {}
+        by: dict[str, list] = defaultdict(list)
+        for row in rows:
+            by[row[0]].append(row)
         for kind in ("w", "1", "2", "3", "4"):
             counts: dict[str, list[int]] = {}
             total = [0] * len(self.langs)
-            for k, lang, key, c in rows:
-                if k == kind:
-                    counts.setdefault(key, [0] * len(self.langs))[at[lang]] += c
-                    total[at[lang]] += c
+            for _, lang, key, c in by[kind]:
+                counts.setdefault(key, [0] * len(self.langs))[at[lang]] += c
+                total[at[lang]] += c
             self.tables[kind] = {key: [math.log((c + SMOOTH) / (t + SMOOTH * (len(counts) + 1))) for c, t in zip(cs, total)] for key, cs in counts.items()}
         self.reset()
         self.index = WordIndex(self._add, self.reset, keep)
@@ -117,19 +121,34 @@ class Scorer:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> list[tuple[str, str, str, int]]:
-    """Model rows from at most ``sample`` labelled rows, those of least hash."""
-    rows = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).where("lang is not null and text is not null").orderBy(F.xxhash64("text"), "lang").limit(sample)
+    """Model rows from a sample of the labelled rows, ``sample`` as expected. Spark counts; only the bounded model comes here."""
+    rows = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).where("lang is not null and text is not null")
+    if n := rows.count():
+        share = min(1.0, sample / n)
+        rows = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 31)) < int(share * (1 << 31)) + (share == 1))
+
+    def words():
+        def work(langs, texts):
+            seen: Counter = Counter()
+            for lang, text in zip(langs, texts):
+                seen.update((lang, w) for w in letters_of(text.lower()))
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+
+        return work
+
+    counts = map_texts(rows.distinct(), ["lang", "text"], words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = list(count((p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["kind", "lang", "key", "n"])
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = grams_of(zip(*(c.to_pylist() for c in b.columns)))
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in found], pa.string()) for i in range(3)), pa.array(list(found.values()), pa.int64())], names=["kind", "lang", "key", "n"])
 
-    return [tuple(r) for r in rows.coalesce(1).mapInArrow(run, "kind string, lang string, key string, n long").collect()]
+    model = counts.mapInArrow(pieces, "kind string, lang string, key string, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
+    return sorted(tuple(r) for r in model.collect())
 
 
 def identify(docs: DataFrame, model: list[tuple[str, str, str, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, predicted, n_words, n_known, margin) of every row. The model's size is bounded by its tables."""
+    """(doc_id, predicted, n_words, n_known, margin) of every row. The model is that of a bounded sample."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

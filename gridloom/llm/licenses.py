@@ -2,7 +2,7 @@
 
 Each rule has a priority, a licence, keywords and a pattern. One pass of an automaton over the text in lower case, with
 each run of white space as one blank, finds the keywords; only rules of which a keyword is there run their pattern, over
-the text as it is. Detections are then taken by priority (the longer, then the earlier one, then the rule that comes
+the text as it is. Signs that lead the lines of a comment count as white space. Detections are then taken by priority (the longer, then the earlier one, then the rule that comes
 first, of equal ones); one whose interval lies within one that is taken already is suppressed.
 
 The result has a row for each detection that stays: (doc_id, license, rule, priority, start, length). start and length
@@ -36,19 +36,42 @@ def rules(text: str = RULES) -> tuple[Rule, ...]:
         flexible = re.sub(r" \?", r"\\s*", pattern)
         flexible = flexible.replace(" ", r"\s+")
         flexible = re.sub(r"\[([^\]]*)\\s\+([^\]]*)\]", r"[\1\\s\2]", flexible)
+        flexible = re.sub(r"(\[[^^\]][^\]]*\\s[^\]]*\]|\[\\s[^\]]*\])(?![+*{])", r"(?:\\s+|\1)", flexible)  # a blank may be a line's end and a comment's sign
         out.append((int(priority), name, tuple(keyword.split(";")), re.compile(flexible, re.IGNORECASE)))
     return tuple(out)
 
 
 def resolve(found: list[tuple[int, int, int, int, str]]) -> list[tuple[int, int, int, int, str]]:
-    """(priority, start, end, rule, licence) rows that no taken row contains, by start."""
-    taken: list[tuple[int, int, int, int, str]] = []
-    for row in sorted(set(found), key=lambda r: (-r[0], r[1] - r[2], r[1], r[3])):
-        if not any(t[1] <= row[1] and row[2] <= t[2] for t in taken):
-            taken.append(row)
+    """(priority, start, end, rule, licence) rows that no row before them in the order of priority contains, by start.
+
+    What a suppressed row contains is contained in the row that suppresses it, too. So it is enough to know, of the rows
+    so far, the farthest end from each start on: a tree of greatest ends over the starts answers in logarithmic time.
+    """
+    rows = sorted(set(found), key=lambda r: (-r[0], r[1] - r[2], r[1], r[3]))
+    place = {s: k + 1 for k, s in enumerate(sorted({r[1] for r in rows}))}
+    reach = [-1] * (len(place) + 1)
+    taken = []
+    for row in rows:
+        k = at = place[row[1]]
+        while at and reach[at] < row[2]:
+            at -= at & -at
+        if at:
+            continue
+        taken.append(row)
+        while k < len(reach):
+            reach[k] = max(reach[k], row[2])
+            k += k & -k
     return sorted(taken, key=lambda r: (r[1], r[2], r[3]))
 
 
+_LEADER = re.compile(r"(?<=\n)[ \t]*(?:/\*+|\*+(?!/)|//+!?|#+!?|;+|--+|%+|>+|dnl\b|rem\b)", re.IGNORECASE)
+
+
+def bare(text: str) -> str:
+    """The text with what leads a comment's line as blanks, so many; places stay."""
+    return _LEADER.sub(lambda m: " " * len(m.group()), text) if "\n" in text else text
+
+
 def fold(text: str) -> str:
     """The text as keywords are looked up in it: letters that patterns take for each other are one, white space is a blank."""
     if not text.isascii():
@@ -73,6 +96,7 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[int, int, int, int, str]]:
         if not text:
             return []
+        text = bare(text)
         gate = {ks for _, ks in self.automaton.iter(fold(text))}
         return self.matches(text, {k for ks in gate for k in ks})
 

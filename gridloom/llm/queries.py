@@ -61,7 +61,7 @@ WITH lines AS (
 ), bad AS (
   SELECT l.source, trim(line, ' ') AS t FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
   WHERE trim(line, ' ') <> '' GROUP BY l.source, trim(line, ' '), n_host
-  HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > CAST(0.03 AS DOUBLE) * n_host
+  HAVING count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) > CAST(0.03 AS DOUBLE) * n_host
 ), marked AS (
   SELECT l.*, b.t IS NOT NULL AS gone FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line, ' ') = b.t
 )

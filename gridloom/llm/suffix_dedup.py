@@ -4,7 +4,9 @@ Suffixes that are equal through the depth are exactly the repeated windows. The
 least hash of the 8-word grams in each window: equal windows have equal least grams, so they meet in one partition,
 and a window whose least gram occurs once in the corpus is alone and leaves the sort before any of its words are sent.
 What is left is sorted in place, a digit of up to eight words a pass; suffixes that are alone in their group leave
-after each pass.
+after each pass. A gram that more than ``HOT`` stretches share, such as that of a notice on a third of all documents,
+isn't sent to one task: its windows are told apart by one digit over the whole depth, 128 bits of all their words, in
+a grouping that adds up before the shuffle. The rows are the same.
 
 Words are runs of letters, digits and underscores of the lower-cased text. The result has one row for each stretch
 of a document in which every window of ``depth`` words occurs elsewhere too and its first occurrence (least doc_id,
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WordHashes, map_texts
+from gridloom.llm.common import WordHashes, durable, map_texts
 
 #: Words that two passages must share in a row.
 DEPTH = 50
+#: Stretches of one least gram that one task sorts.
+HOT = 50_000
 _GRAM = 8
 _MULT = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (2**64 - 1) | 1 for k in range(64)], np.uint64)
-_TOKEN_BYTES = 5
+_TOKEN_BYTES = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,9 +104,7 @@ def _sort(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBa
     words = table.column(3).combine_chunks()
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
     raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, _TOKEN_BYTES)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :_TOKEN_BYTES] = raw
-    t = np.unique(wide.view(np.int64).ravel(), return_inverse=True)[1]
+    t = np.unique(raw.view(np.int64).ravel(), return_inverse=True)[1]
     begin = (offsets[:-1] - offsets[0]) // _TOKEN_BYTES
     n = (np.diff(offsets) // _TOKEN_BYTES) - depth + 1
     digits = _ranks(t, depth)
@@ -137,7 +139,22 @@ def _sort(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d[c], f[c], p[c], size[a : a + 100_000], rd[c], rp[c])], names=["doc_id", "fp", "start", "n", "first_doc_id", "first_start"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+def _windows(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, fp, start, k1, k2): each window with 128 bits of its words."""
+    for batch in batches:
+        for i, f, start, words in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            t = np.frombuffer(words, np.uint64)
+            n = len(t) - depth + 1
+            keys = []
+            for turn in (1, 2):
+                g, x = np.zeros(n, np.uint64), _mix(t * np.uint64(2 * turn + 1))
+                for k in range(depth):
+                    g = g * _MULT[turn] + x[k : k + n]
+                keys.append(pa.array(_mix(g).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.full(n, f)), pa.array(start + np.arange(n, dtype=np.int64)), *keys], names=["doc_id", "fp", "start", "k1", "k2"])
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """(doc_id, start, n_words, first_doc_id, first_start, is_first) of all passages that repeat."""
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text is not null").withColumn("fp", F.xxhash64("text"))
 
@@ -154,10 +171,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return work
 
-    runs = map_texts(base, ["doc_id", "fp", "text"], find, "doc_id long, fp long, start int, n int, gram long, again boolean")
-    same = Window.partitionBy("gram")
-    shared = runs.select("*", F.count("*").over(same).alias("c"), F.max("again").over(same).alias("s")).where("c > 1 or s")
-    wanted = shared.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "n", "gram")).alias("runs"))
+    runs = durable(map_texts(base, ["doc_id", "fp", "text"], find, "doc_id long, fp long, start int, n int, gram long, again boolean"))
+    grams = durable(runs.groupBy("gram").agg(F.count("*").alias("c"), F.max("again").alias("s")).where("c > 1 or s"))
 
     def words():
         hashes = WordHashes()
@@ -176,8 +191,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return work
 
-    sent = map_texts(base.join(wanted, ["doc_id", "fp"]), ["doc_id", "fp", "runs", "text"], words, "doc_id long, fp long, start int, words binary, gram long")
-    pieces = sent.repartition("gram").select("doc_id", "fp", "start", "words").mapInArrow(lambda b: _sort(b, depth), "doc_id long, fp long, start long, n long, first_doc_id long, first_start long")
+    def sent(shared: DataFrame) -> DataFrame:
+        """(doc_id, fp, start, words, gram) of the stretches whose gram is among ``shared``."""
+        wanted = runs.join(shared.select("gram"), "gram").groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "n", "gram")).alias("runs"))
+        return map_texts(base.join(wanted, ["doc_id", "fp"]), ["doc_id", "fp", "runs", "text"], words, "doc_id long, fp long, start int, words binary, gram long")
+
+    pieces = sent(grams.where(F.col("c") <= hot)).repartition("gram").select("doc_id", "fp", "start", "words").mapInArrow(lambda b: _sort(b, depth), "doc_id long, fp long, start long, n long, first_doc_id long, first_start long")
+    if not (many := grams.where(F.col("c") > hot)).isEmpty():
+        each = durable(sent(many).select("doc_id", "fp", "start", "words").mapInArrow(lambda b: _windows(b, depth), "doc_id long, fp long, start long, k1 long, k2 long").distinct())
+        first = each.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "fp", "start")).alias("m"), F.count("*").alias("c")).where("c > 1")
+        pieces = pieces.union(each.join(first, ["k1", "k2"]).select("doc_id", "fp", "start", F.lit(1).cast("long").alias("n"), F.col("m.doc_id").alias("first_doc_id"), F.col("m.start").alias("first_start")))
     line = Window.partitionBy("doc_id", "fp", "first_doc_id", F.col("first_start") - F.col("start")).orderBy("start")
     joined = pieces.withColumn("new", (F.col("start") != F.coalesce(F.lag(F.col("start") + F.col("n")).over(line), F.lit(-1))).cast("int")).withColumn("island", F.sum("new").over(line))
     return (

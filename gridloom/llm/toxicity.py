@@ -6,10 +6,8 @@ term, and for each labelled document that names an identity group the squared ch
 term is swapped for another of the same kind. So a score doesn't hang on which group a text mentions, and neutral
 mentions are rejected less often.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE``, those of least hash of the id), in one task, with
-the ``FEATURES`` features that are most associated with the label (chi-squared above ``CHI2``, in at least
-``MIN_DOCS`` documents, counting documents where the value is a quarter or more) and all identity terms seen. Scoring
-reads all documents.
+The model is fitted on a bounded sample of labelled rows (``SAMPLE``, those of least hash of the id) with all features
+that they have. Tasks make the documents' features, as hashes; one task solves. Scoring reads all documents.
 
 The result has a row for each row of the input: (doc_id, score, toxic). score is the log odds, to six digits.
 
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import WordIndex, csr_take, filter_texts, map_texts, words_of
 
-SAMPLE, FEATURES, MIN_DOCS, CHI2 = 10_000, 1024, 5, 10.83
+SAMPLE = 10_000
 RIDGE, FAIR, ROUNDS, RATE = 1e-4, 5.0, 30, 50.0
 #: Terms of a row stand for groups of one kind; a swap takes the next of the row.
 IDENTITY = (
@@ -52,23 +50,15 @@ IDENTITY = (
     ("german", "french", "spanish", "english", "american", "mexican", "chinese", "russian", "turkish", "polish"),
 )
 SWAP = {w: row[(k + 1) % len(row)] for row in IDENTITY for k, w in enumerate(row)}
-Model = tuple[float, dict[str, float]]
+#: Intercept, hashes of the features in order, and their weights.
+Model = tuple[float, np.ndarray, np.ndarray]
+NOTHING: Model = (0.0, np.zeros(0, np.int64), np.zeros(0))
 
 
 def features_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in range(4, 9) if len(word) > k)]
 
 
-def values(words: dict[str, int]) -> dict[str, float]:
-    """Feature values of a document, from its word counts."""
-    out: Counter = Counter()
-    for w, c in words.items():
-        for f in features_of(w):
-            out[f] += c
-    n = sum(words.values())
-    return {f: min(1.0, RATE * c / n) for f, c in out.items()}
-
-
 def swapped(words: dict[str, int]) -> dict[str, int]:
     out: Counter = Counter()
     for w, c in words.items():
@@ -76,64 +66,158 @@ def swapped(words: dict[str, int]) -> dict[str, int]:
     return out
 
 
-def train(rows: list[tuple[dict[str, int], int]], fair: float = FAIR, ridge: float = RIDGE, features: int = FEATURES, min_docs: int = MIN_DOCS, chi2: float = CHI2) -> Model:
-    """(intercept, weight by feature) from (word counts, label) rows, by Newton's method."""
-    y = np.array([t for _, t in rows], float)
-    if not rows or y.min() == y.max():
-        return 0.0, {}
-    n, pos = len(y), y.sum()
-    both, hit, terms = Counter(), Counter(), set()
-    for ws, t in rows:
-        strong = [f for f, v in values(ws).items() if v >= 0.25]
-        both.update(strong)
-        terms |= SWAP.keys() & ws.keys()
-        if t:
-            hit.update(strong)
-    scored = []
-    for f, c in both.items():
-        if c >= min_docs and f not in SWAP:
-            a = hit[f]
-            b, d = c - a, pos - a
-            den = c * (n - c) * pos * (n - pos)
-            x = n * (a * (n - pos - b) - b * d) ** 2 / den if den else 0.0
-            if x >= chi2:
-                scored.append((-x, f))
-    vocabulary = [f for _, f in sorted(scored)[:features]] + sorted({x for w in terms for x in (w, SWAP[w])})
-    at = {f: k + 1 for k, f in enumerate(vocabulary)}
-
-    def matrix(docs: list[dict[str, int]]) -> np.ndarray:
-        x = np.zeros((len(docs), len(at) + 1))
-        x[:, 0] = 1
-        for r, ws in enumerate(docs):
-            for f, v in values(ws).items():
-                if f in at:
-                    x[r, at[f]] = v
-        return x
-
-    x = matrix([ws for ws, _ in rows])
-    named = [ws for ws, _ in rows if not SWAP.keys().isdisjoint(ws)]
-    delta = matrix(named) - matrix([swapped(s) for s in named])
-    penalty = np.full(len(at) + 1, ridge)
-    penalty[0] = 1e-9
-    extra = np.diag(penalty) + (2 * fair / len(named) * (delta.T @ delta) if named else 0)
-    w = np.zeros(len(at) + 1)
+class Features:
+    """Hashes of words' features, kept by word."""
+
+    def __init__(self, keep: int = 400_000):
+        self.reset()
+        self.index = WordIndex(self._add, self.reset, keep)
+
+    def reset(self) -> None:
+        self.pool, self.ends = array("q"), array("q", [0])
+
+    def _add(self, word: str) -> None:
+        import xxhash
+
+        self.pool.frombytes(b"".join(xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for f in features_of(word)))
+        self.ends.append(len(self.pool))
+
+    def values(self, words: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A document's features and their values, from its distinct words and how often they occur."""
+        rows = self.index.rows(words)
+        ends = np.frombuffer(self.ends, np.int64)
+        size = ends[rows + 1] - ends[rows]
+        found, at = np.unique(csr_take(np.frombuffer(self.pool, np.int64), ends[rows], size), return_inverse=True)
+        return found, np.minimum(1.0, RATE * np.bincount(at, np.repeat(times, size), len(found)) / times.sum())
+
+
+class _Matrix:
+    """Rows of (columns, values)."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray):
+        self.n, self.width = len(rows), len(vocabulary)
+        self.size = np.array([len(f) for f, _ in rows], np.int64)
+        self.full = np.flatnonzero(self.size)
+        self.begin = (np.cumsum(self.size) - self.size)[self.full]
+        self.col = np.searchsorted(vocabulary, np.concatenate([np.zeros(0, np.int64), *(f for f, _ in rows)]))
+        self.val = np.concatenate([np.zeros(0), *(v for _, v in rows)])
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(self.val * w[self.col], self.begin)
+        return out
+
+    def back(self, r: np.ndarray, square: bool = False) -> np.ndarray:
+        """The transpose times r, or that of the squares."""
+        v = self.val * np.repeat(r, self.size)
+        return np.bincount(self.col, v * self.val if square else v, self.width)
+
+
+    def take(self, columns: np.ndarray, name: np.ndarray) -> None:
+        """Keep only these columns, under their new names."""
+        here = np.zeros(self.width, bool)
+        here[columns] = True
+        stay = here[self.col]
+        self.size = np.bincount(np.repeat(np.arange(self.n), self.size)[stay], minlength=self.n)
+        self.full = np.flatnonzero(self.size)
+        self.begin = (np.cumsum(self.size) - self.size)[self.full]
+        self.col, self.val, self.width = name[self.col[stay]], self.val[stay], len(columns)
+
+
+def _alike(parts: list[_Matrix]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names by column, equal for columns of equal rows and values in all parts (by 128 bits); a column and the number of columns of each name."""
+    row = np.concatenate([np.repeat(np.arange(m.n), m.size) + k * (1 << 32) for k, m in enumerate(parts)]).astype(np.uint64)
+    col, val = np.concatenate([m.col for m in parts]), np.concatenate([m.val for m in parts]).view(np.uint64)
+    order = np.argsort(col, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(col[order]) != 0]))
+    sums = []
+    for a, b in ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)):
+        z = (row + np.uint64(1)) * np.uint64(a) ^ val * np.uint64(b)
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        sums.append(np.add.reduceat((z ^ (z >> np.uint64(29)))[order], begin))
+    _, first, alike, many = np.unique(np.stack(sums, axis=1).view("u8,u8").ravel(), return_index=True, return_inverse=True, return_counts=True)
+    return alike, first, many
+
+
+def solve(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, change: list[tuple[np.ndarray, np.ndarray]], fair: float = FAIR, ridge: float = RIDGE) -> Model:
+    """The least loss, by Newton's method with conjugate gradients. ``change``: what swaps take from and add to documents that name a group."""
+    if not len(y) or y.min() == y.max():
+        return NOTHING
+    features = np.unique(np.concatenate([f for f, _ in rows + change]))
+    x, d, n = _Matrix(rows, features), _Matrix(change, features), len(y)
+    push = 2 * fair / max(1, len(change))
+    # features that are alike in all documents, as rare words and their prefixes are, share one weight: the loss is that of its equal shares
+    alike, vocabulary, many = _alike([x, d])
+    x.take(vocabulary, alike)
+    d.take(vocabulary, alike)
+    ridge = ridge / many
+
+    def join(b: float, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([[b], w])
+
+    def extra(v: np.ndarray) -> np.ndarray:
+        return join(1e-9 * v[0], ridge * v[1:] + (push * d.back(d @ v[1:]) if len(change) else 0))
+
+    w, first = np.zeros(len(vocabulary) + 1), None
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) / n)) @ x + extra + 1e-9 * np.eye(len(w)), x.T @ (p - y) / n + extra @ w)
+        p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
+        e, s = (p - y) / n, p * (1 - p) / n
+        g = join(e.sum(), x.back(e)) + extra(w)
+        first = first or np.abs(g).max()
+        if np.abs(g).max() <= 1e-3 * first:
+            break
+        scale = join(s.sum() + 1e-9, x.back(s, True) + ridge + (push * d.back(np.ones(len(change)), True) if len(change) else 0)) + 1e-12
+
+        def curve(v: np.ndarray) -> np.ndarray:
+            t = s * (v[0] + x @ v[1:])
+            return join(t.sum(), x.back(t)) + extra(v)
+
+        step, r = np.zeros(len(w)), g.copy()
+        z = r / scale
+        q, rz = z.copy(), r @ z
+        goal = 0.01 * rz
+        for _ in range(20):
+            h = curve(q)
+            a = rz / (q @ h)
+            step += a * q
+            r -= a * h
+            z = r / scale
+            rz, old = r @ z, rz
+            if rz < goal:
+                break
+            q = z + (rz / old) * q
         step *= min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         w -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(w[0]), {f: float(w[k]) for f, k in at.items()}
+    return float(w[0]), features, (w[1:] / many)[alike]
+
+
+def of_words(words: dict[str, int], make: Features) -> tuple[np.ndarray, np.ndarray]:
+    return make.values(list(words), np.array(list(words.values()), np.int64)) if words else (np.zeros(0, np.int64), np.zeros(0))
+
+
+def change_of(words: dict[str, int], make: Features) -> tuple[np.ndarray, np.ndarray] | None:
+    """Values that a swap of the identity terms takes away, less those that it adds; None without any such term."""
+    if SWAP.keys().isdisjoint(words):
+        return None
+    (f, v), (g, u) = of_words(words, make), of_words(swapped(words), make)
+    found, at = np.unique(np.concatenate([f, g]), return_inverse=True)
+    diff = np.bincount(at, np.concatenate([v, -u]), len(found))
+    return found[diff != 0], diff[diff != 0]
+
+
+def train(rows: list[tuple[dict[str, int], int]], fair: float = FAIR, ridge: float = RIDGE) -> Model:
+    """The model of (word counts, label) rows."""
+    make = Features()
+    return solve([of_words(ws, make) for ws, _ in rows], np.array([t for _, t in rows], float), [c for ws, _ in rows if (c := change_of(ws, make)) is not None], fair, ridge)
 
 
 class Scorer:
     """Scores batches of texts; keeps the features of the words seen."""
 
     def __init__(self, model: Model, keep: int = 400_000):
-        self.intercept = model[0]
-        self.at = {f: k for k, f in enumerate(model[1])}
-        self.weights = np.array(list(model[1].values()), float)
+        self.intercept, self.hashes, self.weights = model
+        self.make = Features()
         self.reset()
         self.index = WordIndex(self._add, self.reset, keep)
 
@@ -141,7 +225,12 @@ class Scorer:
         self.pool, self.ends = array("i"), array("q", [0])
 
     def _add(self, word: str) -> None:
-        self.pool.extend([self.at[f] for f in features_of(word) if f in self.at])
+        self.make.reset()
+        self.make._add(word)
+        h = np.frombuffer(self.make.pool, np.int64)
+        at = np.searchsorted(self.hashes, h)
+        at = at[at < len(self.hashes)] if not len(self.hashes) else at[(at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == h)]
+        self.pool.extend(at.tolist())
         self.ends.append(len(self.pool))
 
     def texts(self, texts: list[str | None]) -> list[float | None]:
@@ -168,22 +257,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("text")).where("text is not null").join(F.broadcast(marked), "i")
 
     def split():
+        made = Features()
+
         def work(ys, ids, texts):
-            counts = [sorted(Counter(words_of(t.lower())).items()) for t in texts]
-            return pa.RecordBatch.from_arrays([pa.array([[w for w, _ in c] for c in counts], pa.list_(pa.string())), pa.array([[k for _, k in c] for c in counts], pa.list_(pa.int32())), pa.array(ys, pa.int32()), pa.array(ids, pa.int64())], names=["words", "n", "y", "i"])
+            counts = [Counter(words_of(t.lower())) for t in texts]
+            full, change = [of_words(c, made) for c in counts], [change_of(c, made) for c in counts]
+            cols = [pa.array([f for f, _ in full], pa.list_(pa.int64())), pa.array([v for _, v in full], pa.list_(pa.float64())), pa.array([c and c[0] for c in change], pa.list_(pa.int64())), pa.array([c and c[1] for c in change], pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(ys, pa.int32()), pa.array(ids, pa.int64())], names=["f", "v", "cf", "cv", "y", "i"])
 
         return work
 
-    sets = map_texts(rows, ["y", F.col("i").cast("long").alias("i"), "text"], split, "words array<string>, n array<int>, y int, i long")
+    sets = map_texts(rows, ["y", F.col("i").cast("long").alias("i"), "text"], split, "f array<long>, v array<double>, cf array<long>, cv array<double>, y int, i long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sorted(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in (3, 2, 0, 1))))
-        intercept, weights = train([(dict(zip(ws, ns)), y) for _, y, ws, ns in seen], fair)
-        yield pa.RecordBatch.from_arrays([pa.array([None, *weights], pa.string()), pa.array([intercept, *weights.values()], pa.float64())], names=["word", "weight"])
-
-    # repartition, so that the words are found by many tasks and only the fit is one
-    got = sets.repartition(1).mapInArrow(run, "word string, weight double").collect()
-    return next((r.weight for r in got if r.word is None), 0.0), {r.word: r.weight for r in got if r.word is not None}
+        seen = []
+        for b in batches:
+            lists = [[np.asarray(x.values) if x.is_valid else None for x in b.column(k)] for k in range(4)]
+            seen += zip(b.column(5).to_pylist(), b.column(4).to_pylist(), *lists)
+        seen.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+        intercept, features, weights = solve([(r[2], r[3]) for r in seen], np.array([r[1] for r in seen], float), [(r[4], r[5]) for r in seen if r[4] is not None], fair)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *features.tolist()], pa.int64()), pa.array([intercept, *weights.tolist()], pa.float64())], names=["feature", "weight"])
+
+    # repartition, so that the features are made by many tasks and only the solving is one
+    got = sets.repartition(1).mapInArrow(run, "feature long, weight double").toArrow()
+    if not got.num_rows:
+        return NOTHING
+    return got.column(1)[0].as_py(), got.column(0).slice(1).to_numpy(), got.column(1).slice(1).to_numpy()
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,10 +27,10 @@ def beyond(cells: DataFrame, bin: Column, distance: Column, reach: DataFrame) ->
 def gaussian_field(cells: DataFrame, points: DataFrame, sigma: float) -> DataFrame:
     """The greatest of the Gaussians about the points (px, py) at each cell; 0 without points. The points are few."""
     d = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-    return cells.join(points, how="left").groupBy("row", "col").agg(F.round(F.coalesce(F.max(F.exp(-d / (2 * sigma * sigma))), F.lit(0.0)), 6).alias("value"))
+    return cells.join(points, how="left").groupBy("row", "col").agg(F.coalesce(F.max(F.exp(-d / (2 * sigma * sigma))), F.lit(0.0)).alias("value"))
 
 
 def distance_field(cells: DataFrame, points: DataFrame, none: float) -> DataFrame:
     """Distance to the nearest foreground point; ``none`` without any."""
     d = F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)
-    return cells.join(points, how="left").groupBy("row", "col").agg(F.round(F.coalesce(F.min(d), F.lit(none)), 6).alias("distance"))
+    return cells.join(points, how="left").groupBy("row", "col").agg(F.coalesce(F.min(d), F.lit(none)).alias("distance"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,22 +69,39 @@ def segments_near(points: DataFrame, segs: DataFrame, pid: str, line: str, x: st
 def asof_lerp(series: DataFrame, asks: DataFrame, key: str, t: str, at: str, value: str, tie: str) -> DataFrame:
     """``asks`` with ``value`` interpolated linearly at ``at``; null before the first and after the last time.
 
-    Of equal times the last row (by ``tie``) begins the interval.
+    Of equal times the last row (by ``tie``) begins the interval. Both sides lie in one order of times, so a window
+    finds the rows about each ask; nothing is paired.
     """
-    w = Window.partitionBy(key).orderBy(t, tie)
-    spans = series.select(F.col(key).alias("_k"), F.col(t).alias("_t0"), F.lead(t).over(w).alias("_t1"), F.col(value).alias("_v0"), F.lead(value).over(w).alias("_v1"))
-    spans = spans.withColumns({"_v1": F.coalesce("_v1", "_v0"), "_last": F.col("_t1").isNull(), "_t1": F.coalesce("_t1", "_t0")}).where("_t1 > _t0 or _last")
-    inside = (asks[key] == spans["_k"]) & (asks[at] >= spans["_t0"]) & ((asks[at] < spans["_t1"]) | (spans["_last"] & (asks[at] == spans["_t0"])))
-    share = F.coalesce(F.try_divide(F.col(at) - F.col("_t0"), F.col("_t1") - F.col("_t0")), F.lit(0.0))
-    return asks.join(spans, inside, "left").withColumn(value, F.col("_v0") + share * (F.col("_v1") - F.col("_v0"))).select(*asks.columns, value)
+    none = F.lit(None)
+    s = series.select(F.col(key).alias("_k"), F.col(t).alias("_t"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_ask"), F.col(tie).cast("long").alias("_tie"), none.alias("_row"))
+    a = asks.select(F.col(key).alias("_k"), F.col(at).alias("_t"), none.cast("double").alias("_v"), F.lit(1).alias("_ask"), none.cast("long").alias("_tie"), F.struct(*asks.columns).alias("_row"))
+    w = Window.partitionBy("_k").orderBy("_t", "_ask", "_tie")
+    point = F.when(F.col("_ask") == 0, F.struct("_t", "_v"))
+    rows = s.withColumn("_row", none.cast(a.schema["_row"].dataType)).union(a)
+    rows = rows.withColumns({"_p": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.first(point, True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where("_ask = 1")
+    share = F.try_divide(F.col("_t") - F.col("_p._t"), F.col("_n._t") - F.col("_p._t"))
+    exact = F.when(F.col("_p._t") == F.col("_t"), F.col("_p._v"))
+    return rows.select("_row.*", F.coalesce(F.col("_p._v") + share * (F.col("_n._v") - F.col("_p._v")), exact).alias(value))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, key: str, t: str, right_id: str) -> DataFrame:
-    """Each left row's right row of the key with the least time difference, the earlier and then the lesser id of equal ones."""
-    d = F.abs(F.col(f"l.{t}") - F.col(f"r.{t}"))
-    best = F.min(F.when(F.col(f"r.{right_id}").isNotNull(), F.struct(d.alias("d"), F.col(f"r.{t}").alias("t"), F.col(f"r.{right_id}").alias("nearest"))))
-    joined = left.alias("l").join(right.alias("r"), F.col(f"l.{key}") == F.col(f"r.{key}"), "left")
-    return joined.groupBy(*(F.col(f"l.{c}").alias(c) for c in left.columns)).agg(best.alias("m")).select(*left.columns, "m.nearest")
+    """Each left row's right row of the key with the least time difference, the earlier and then the lesser id of equal ones. One ordered window, no pairs."""
+    none = F.lit(None)
+    kind = right.schema[right_id].dataType
+    a = left.select(F.col(key).alias("_k"), F.col(t).alias("_t"), none.cast(kind).alias("_id"), F.lit(1).alias("_ask"), F.struct(*left.columns).alias("_row"))
+    # of equal times only the least id can be the nearest
+    b = right.groupBy(F.col(key).alias("_k"), F.col(t).alias("_t")).agg(F.min(right_id).alias("_id")).select("_k", "_t", "_id", F.lit(0).alias("_ask"), none.cast(a.schema["_row"].dataType).alias("_row"))
+    w = Window.partitionBy("_k").orderBy("_t", "_ask")
+    point = F.when(F.col("_ask") == 0, F.struct("_t", "_id"))
+    rows = b.union(a).withColumns({"_p": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.first(point, True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where("_ask = 1")
+    before, after = F.col("_t") - F.col("_p._t"), F.col("_n._t") - F.col("_t")
+    return rows.select("_row.*", F.when(F.col("_p").isNull() | (after < before), F.col("_n._id")).otherwise(F.col("_p._id")).alias("nearest"))
+
+
+def equi_or_nearest(left: DataFrame, right: DataFrame, key: str, same: str, t: str, right_id: str) -> DataFrame:
+    """``left`` with the right row of the same ``same`` value, or else the one nearest in time."""
+    ids = right.groupBy(key, same).agg(F.min(right_id).alias("_exact"))
+    return asof_nearest(left, right, key, t, right_id).join(ids, [key, same], "left").select(*left.columns, F.coalesce("_exact", "nearest").alias("nearest"))
 
 
 def aligned(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
@@ -89,15 +110,22 @@ def aligned(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, key, "full").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"))
 
 
-def donors(objects: DataFrame, oid: str, kind: str, size: list[str], coverage: str, exact: float, relative: float) -> DataFrame:
-    """For each object the donor of its kind: exact size (absolute tolerance) before similar size (relative), then by the norm of the relative differences, coverage (high first) and id."""
-    a, b = objects.alias("a"), objects.alias("b")
+def donors(objects: DataFrame, oid: str, kind: str, size: list[str], coverage: str, dense: str, exact: float, relative: float) -> DataFrame:
+    """(oid, donor, how): for each object that isn't dense the dense one of its kind to take the shape from.
+
+    Donors of the same size (absolute tolerance, ``exact``) come before those of like size (``similar``: relative to the
+    larger of both, axis by axis); then the least norm of the relative differences counts, the higher coverage, the lesser
+    id. Sides meet by kind and by cells of the first size's logarithm, which a tolerance can't pass by more than one.
+    """
+    width = -math.log(1 - relative)
+    cell = F.floor(F.ln(F.greatest(F.abs(F.col(size[0])), F.lit(exact / relative))) / width)
+    base = objects.withColumn("_cell", cell)
+    a = base.where(~F.col(dense)).withColumn("_cell", F.explode(F.sequence(F.col("_cell") - 1, F.col("_cell") + 1))).alias("a")
+    b = base.where(dense).alias("b")
     diff = [F.abs(F.col(f"a.{s}") - F.col(f"b.{s}")) for s in size]
-    rel = [F.try_divide(d, F.abs(F.col(f"a.{s}"))) for d, s in zip(diff, size)]
-    same = (F.col(f"a.{kind}") == F.col(f"b.{kind}")) & (F.col(f"a.{oid}") != F.col(f"b.{oid}"))
-    is_exact, similar = diff[0] <= exact, rel[0] <= relative
-    for d, r in zip(diff[1:], rel[1:]):
-        is_exact, similar = is_exact & (d <= exact), similar & (r <= relative)
+    rel = [d / F.greatest(F.col(f"a.{s}"), F.col(f"b.{s}"), F.lit(1e-8)) for d, s in zip(diff, size)]
+    is_exact, similar = reduce(and_, (d <= exact for d in diff)), reduce(and_, (r <= relative for r in rel))
     norm = F.sqrt(sum((r * r for r in rel), F.lit(0.0)))
-    w = Window.partitionBy(F.col(f"a.{oid}")).orderBy(F.when(is_exact, 0).otherwise(1), norm, F.col(f"b.{coverage}").desc(), F.col(f"b.{oid}"))
-    return a.join(b, same & (is_exact | similar)).select(F.col(f"a.{oid}").alias(oid), F.col(f"b.{oid}").alias("donor"), F.row_number().over(w).alias("rn")).where("rn = 1").drop("rn")
+    found = a.join(b, (F.col(f"a.{kind}") == F.col(f"b.{kind}")) & (F.col("a._cell") == F.col("b._cell"))).where(is_exact | similar)
+    best = found.groupBy(F.col(f"a.{oid}").alias(oid)).agg(F.min(F.struct(F.when(is_exact, 0).otherwise(1).alias("how"), norm.alias("norm"), (-F.col(f"b.{coverage}")).alias("c"), F.col(f"b.{oid}").alias("donor"))).alias("m"))
+    return best.select(oid, "m.donor", F.when(F.col("m.how") == 0, "exact").otherwise("similar").alias("how"))

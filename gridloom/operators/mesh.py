@@ -36,7 +36,7 @@ def normals(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     each = out.select(F.explode(F.array("a", "b", "c")).alias("v"), *(c.alias(n) for c, n in zip(cross, ("x", "y", "z"))))
     sums = each.groupBy("v").agg(*(F.sum(n).alias(n) for n in "xyz"))
     size = F.greatest(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), F.lit(1e-12))
-    return sums.select("v", *(F.round(F.col(n) / size, 6).alias(f"n{n}") for n in "xyz"))
+    return sums.select("v", *((F.col(n) / size).alias(f"n{n}") for n in "xyz"))
 
 
 def prune(faces: DataFrame, supported: DataFrame) -> DataFrame:

@@ -46,7 +46,9 @@ def look_ahead(df: DataFrame, arc: str, x: str, y: str, w: WindowSpec, limit: fl
 
 
 def drop_close(df: DataFrame, x: Column, y: Column, w: WindowSpec, least: float = 1e-3) -> DataFrame:
-    """Rows more than ``least`` from the row before them in the input; the first stays."""
+    """Rows more than ``least`` from the row before them; the first stays. Points that aren't finite go first."""
+    inf = float("inf")
+    df = df.where(~F.isnan(x) & ~F.isnan(y) & (F.abs(x) < inf) & (F.abs(y) < inf))
     dx, dy = x - F.lag(x).over(w), y - F.lag(y).over(w)
     return df.withColumn("_d", F.sqrt(dx * dx + dy * dy)).where(F.col("_d").isNull() | (F.col("_d") > least)).drop("_d")
 

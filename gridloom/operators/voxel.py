@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.store import checkpointed
+
 
 def cells(axes: dict[str, tuple[Column, float]]) -> list[Column]:
     """Cell numbers by axis: floor(x / size), also below zero."""
@@ -18,8 +20,7 @@ def aggregate(points: DataFrame, axes: dict[str, tuple[Column, float]], tag: str
     by_tag = rows.groupBy(*keys, "tag").agg(F.count("*").alias("_c"), *(F.sum(f"x{k}").alias(f"_s{k}") for k in range(len(xs))))
     return by_tag.groupBy(*keys).agg(
         F.sum("_c").alias("n_points"),
-        # the shift takes rounding away from halves, where the order of a sum would show
-        *(F.round(F.sum(f"_s{k}") / F.sum("_c") + F.lit(1e-10), 6).alias(f"c_{name}") for k, name in enumerate(keys)),
+        *((F.sum(f"_s{k}") / F.sum("_c")).alias(f"c_{name}") for k, name in enumerate(keys)),
         F.min_by("tag", F.struct(-F.col("_c"), "tag")).alias("majority"),
     )
 
@@ -28,7 +29,7 @@ def statistics(points: DataFrame, axes: dict[str, tuple[Column, float]]) -> Data
     """Per cell: occupancy, and mean and population deviation of the offsets from the cell's centre (0 for one point)."""
     offsets = [(x - (F.floor(x / F.lit(size)) + 0.5) * size).alias(f"o{k}") for k, (x, size) in enumerate(axes.values())]
     rows = points.select(*cells(axes), *offsets)
-    out = [f(F.coalesce(g, F.lit(0.0))).alias(f"{p}_{name}") for k, name in enumerate(axes) for p, g, f in (("mean", F.avg(f"o{k}"), lambda c: F.round(c, 6)), ("std", F.stddev_pop(f"o{k}"), lambda c: F.round(c, 6)))]
+    out = [F.coalesce(g, F.lit(0.0)).alias(f"{p}_{name}") for k, name in enumerate(axes) for p, g in (("mean", F.avg(f"o{k}")), ("std", F.stddev_pop(f"o{k}")))]
     return rows.groupBy(*axes).agg(F.count("*").alias("n_points"), *out)
 
 
@@ -46,8 +47,11 @@ def band(surface: DataFrame, keys: list[str], reach: int, most: int | None = Non
     out = neighbours(surface.select(*keys), keys, reach).select(*keys).distinct()
     if most is None:
         return out
-    size = out.agg(F.assert_true(F.count("*") <= most, F.lit("too many cells")).alias("ok"))
-    return out.join(size, F.col("ok").isNull()).drop("ok")
+    # the band is made once, and its count comes with the writing
+    out = checkpointed(out)
+    if (n := out.count()) > most:
+        raise ValueError(f"{n} cells; {most} at most")
+    return out
 
 
 def nearest_in_reach(queries: DataFrame, points: DataFrame, keys: list[str], position: dict[str, tuple[str, str]], reach: int, radius: float, value: str) -> DataFrame:
@@ -60,4 +64,4 @@ def nearest_in_reach(queries: DataFrame, points: DataFrame, keys: list[str], pos
     found = asked.alias("q").join(points.alias("p"), [F.col(f"q.{k}") == F.col(f"p.{k}") for k in keys], "left")
     best = found.select(*(F.col(f"q._q{k}").alias(k) for k in keys), F.struct(d.alias("d"), F.col("q.offset_ord").alias("o"), F.col(f"p.{value}").alias("v")).alias("m"))
     near = F.min(F.when(F.col("m.d") <= radius, F.col("m")))
-    return best.groupBy(*keys).agg(near.alias("m")).select(*keys, F.col("m.v").alias(value), F.round("m.d", 6).alias("distance"))
+    return best.groupBy(*keys).agg(near.alias("m")).select(*keys, F.col("m.v").alias(value), F.col("m.d").alias("distance"))

@@ -55,7 +55,9 @@ WITH p AS (SELECT {CELL}, l_quantity AS a, l_discount AS b, l_tax AS c, l_return
 ), m AS (SELECT vx, vy, vz, tag FROM (SELECT vx, vy, vz, tag, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY count(*) DESC, tag) AS rn FROM p GROUP BY vx, vy, vz, tag) WHERE rn = 1)
 SELECT vx, vy, vz, count(*) AS n_points, round(avg(a) + 1e-10, 6) AS c_vx, round(avg(b) + 1e-10, 6) AS c_vy, round(avg(c) + 1e-10, 6) AS c_vz, any_value(m.tag) AS majority FROM p JOIN m USING (vx, vy, vz) GROUP BY vx, vy, vz""")
 def voxel_aggregate(spark, sf_dir):
-    return voxel.aggregate(table(spark, sf_dir, "lineitem"), AXES(), "l_returnflag")
+    out = voxel.aggregate(table(spark, sf_dir, "lineitem"), AXES(), "l_returnflag")
+    # the shift takes rounding away from halves, where the order of a sum would show
+    return out.select(*(F.round(F.col(c) + 1e-10, 6).alias(c) if c.startswith("c_") else c for c in out.columns))
 
 
 @query(f"""
@@ -63,7 +65,7 @@ WITH p AS (SELECT {CELL}, l_quantity - (floor(l_quantity / CAST(5 AS DOUBLE)) +
 SELECT vx, vy, vz, count(*) AS n_points, round(avg(a), 6) + 0 AS mean_vx, round(stddev_pop(a), 6) AS std_vx, round(avg(b), 6) + 0 AS mean_vy, round(stddev_pop(b), 6) AS std_vy, round(avg(c), 6) + 0 AS mean_vz, round(stddev_pop(c), 6) AS std_vz FROM p GROUP BY vx, vy, vz""")
 def voxel_stats(spark, sf_dir):
     out = voxel.statistics(table(spark, sf_dir, "lineitem"), AXES())
-    return out.select(*(F.col(c) + 0.0 if c.startswith("mean") else F.col(c) for c in out.columns)).toDF(*out.columns)
+    return out.select(*((F.round(c, 6) + 0.0).alias(c) if c.startswith(("mean", "std")) else c for c in out.columns))
 
 
 @query("""
@@ -83,7 +85,7 @@ SELECT q.cx, q.cy, r.k AS nearest, round(r.d, 6) AS distance FROM q LEFT JOIN r
 def tudf_nearest(spark, sf_dir):
     points = table(spark, sf_dir, "part").select(F.floor(F.col("p_size") / 5.0).alias("cx"), F.floor(F.col("p_retailprice") / 10.0).alias("cy"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"), F.col("p_partkey").alias("nearest"))
     asked = points.select("cx", "cy").distinct().withColumns({"qx": (F.col("cx") + 0.5) * 5.0, "qy": (F.col("cy") + 0.5) * 10.0})
-    return voxel.nearest_in_reach(asked, points, ["cx", "cy"], {"x": ("qx", "x"), "y": ("qy", "y")}, 1, 6.0, "nearest")
+    return voxel.nearest_in_reach(asked, points, ["cx", "cy"], {"x": ("qx", "x"), "y": ("qy", "y")}, 1, 6.0, "nearest").withColumn("distance", F.round("distance", 6))
 
 
 # scalars and geometry
@@ -236,14 +238,16 @@ def control_nearest_radius(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    ev = events(spark, sf_dir).where("user_id % 3 = 0").withColumn("x", F.col("t") / 3600 - 473000)
-    points = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 50 * 3).alias("user_id"), (F.col("c_custkey") % 700 * 1.0).alias("px"), (F.abs("c_acctbal") / 20).alias("py"))
+    """All events as tracks, and customers over all user ids."""
+    ev = events(spark, sf_dir).withColumn("x", F.col("t") / 3600 - 473000)
+    users = ev.agg((F.max("user_id") + 1).alias("users"))
+    points = table(spark, sf_dir, "customer").join(F.broadcast(users)).select("c_custkey", (F.col("c_custkey") % F.col("users")).alias("user_id"), (F.col("c_custkey") % 700 * 1.0).alias("px"), (F.abs("c_acctbal") / 20).alias("py"))
     return points, joins.segments(ev, "user_id", ["t", "event_id"], "x", "value")
 
 
 _SEG = f"""
-WITH {EV}, s AS (SELECT user_id, row_number() {OVER} AS seq, t / 3600 - 473000 AS ax, value AS ay, lead(t / 3600 - 473000) {OVER} AS bx, lead(value) {OVER} AS by_ FROM ev WHERE user_id % 3 = 0
-), p AS (SELECT c_custkey, c_custkey % 50 * 3 AS user_id, c_custkey % 700 * CAST(1 AS DOUBLE) AS px, abs(c_acctbal) / 20 AS py FROM customer
+WITH {EV}, s AS (SELECT user_id, row_number() {OVER} AS seq, t / 3600 - 473000 AS ax, value AS ay, lead(t / 3600 - 473000) {OVER} AS bx, lead(value) {OVER} AS by_ FROM ev
+), p AS (SELECT c_custkey, c_custkey % (SELECT max(user_id) + 1 FROM ev) AS user_id, c_custkey % 700 * CAST(1 AS DOUBLE) AS px, abs(c_acctbal) / 20 AS py FROM customer
 ), j AS (SELECT c_custkey, seq, px, py, ax, ay, bx - ax AS dx, by_ - ay AS dy FROM p JOIN s USING (user_id) WHERE bx IS NOT NULL
 ), u AS (SELECT *, least(greatest(((px - ax) * dx + (py - ay) * dy) / greatest(dx * dx + dy * dy, 1e-12), 0), 1) AS u FROM j
 ), d AS (SELECT c_custkey, seq, sqrt(pow(px - (ax + u * dx), 2) + pow(py - (ay + u * dy), 2)) AS d FROM u)
@@ -262,29 +266,6 @@ def segment_grid_candidates(spark, sf_dir):
     return joins.segments_near(points, segs, "c_custkey", "user_id", "px", "py", 25.0, 50.0)
 
 
-def _all_lines(spark, sf_dir):
-    """All events as tracks, and customers over all user ids."""
-    ev = events(spark, sf_dir).withColumn("x", F.col("t") / 3600 - 473000)
-    users = ev.agg((F.max("user_id") + 1).alias("users"))
-    points = table(spark, sf_dir, "customer").join(F.broadcast(users)).select("c_custkey", (F.col("c_custkey") % F.col("users")).alias("user_id"), (F.col("c_custkey") % 700 * 1.0).alias("px"), (F.abs("c_acctbal") / 20).alias("py"))
-    return points, joins.segments(ev, "user_id", ["t", "event_id"], "x", "value")
-
-
-_SEG_ALL = _SEG.replace(" WHERE user_id % 3 = 0", "").replace("c_custkey % 50 * 3 AS user_id", "c_custkey % (SELECT max(user_id) + 1 FROM ev) AS user_id")
-
-
-@query(_SEG_ALL + "SELECT c_custkey, seq, round(d, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, seq) AS rn FROM d) WHERE rn = 1")
-def polyline_match_all(spark, sf_dir):
-    points, segs = _all_lines(spark, sf_dir)
-    return joins.nearest_segment(points, segs, "c_custkey", "user_id", "px", "py").select("c_custkey", F.col("seq"), F.round("distance", 4).alias("distance"))
-
-
-@query(_SEG_ALL + "SELECT c_custkey, seq FROM d WHERE d <= 25")
-def segment_grid_candidates_all(spark, sf_dir):
-    points, segs = _all_lines(spark, sf_dir)
-    return joins.segments_near(points, segs, "c_custkey", "user_id", "px", "py", 25.0, 50.0)
-
-
 @query(f"""
 WITH {EV}, b AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM ev GROUP BY user_id
 ), g AS (SELECT user_id, t0 + k * 86400 AS at_t FROM b, range(0, 31) r(k) WHERE t0 + k * 86400 <= t1
@@ -318,13 +299,13 @@ def frame_alignment(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT p_partkey, p_brand, CAST(p_size AS DOUBLE) AS s, p_retailprice AS r FROM part
-), j AS (SELECT a.p_partkey, b.p_partkey AS donor, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN abs(a.s - b.s) <= 0.001 AND abs(a.r - b.r) <= 0.001 THEN 0 ELSE 1 END, sqrt(pow(abs(a.s - b.s) / abs(a.s), 2) + pow(abs(a.r - b.r) / abs(a.r), 2)), b.r DESC, b.p_partkey) AS rn
-  FROM o a JOIN o b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE (abs(a.s - b.s) <= 0.001 AND abs(a.r - b.r) <= 0.001) OR (abs(a.s - b.s) / abs(a.s) <= 0.15 AND abs(a.r - b.r) / abs(a.r) <= 0.15))
-SELECT p_partkey, donor FROM j WHERE rn = 1""")
+WITH o AS (SELECT p_partkey, p_brand, CAST(p_size AS DOUBLE) AS s, p_retailprice AS r, p_size >= 10 AS dense FROM part
+), j AS (SELECT a.p_partkey, b.p_partkey AS donor, abs(a.s - b.s) <= 0.001 AND abs(a.r - b.r) <= 0.001 AS exact, abs(a.s - b.s) / greatest(a.s, b.s) AS ds, abs(a.r - b.r) / greatest(a.r, b.r) AS dr, b.r AS coverage FROM o a JOIN o b ON a.p_brand = b.p_brand AND NOT a.dense AND b.dense
+), k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY exact DESC, sqrt(ds * ds + dr * dr), coverage DESC, donor) AS rn FROM j WHERE exact OR (ds <= 0.15::DOUBLE AND dr <= 0.15::DOUBLE))
+SELECT p_partkey, donor, CASE WHEN exact THEN 'exact' ELSE 'similar' END AS how FROM k WHERE rn = 1""")
 def donor_rank(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r"))
-    return joins.donors(parts, "p_partkey", "p_brand", ["s", "r"], "r", 0.001, 0.15)
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("r"), (F.col("p_size") >= 10).alias("dense"))
+    return joins.donors(parts, "p_partkey", "p_brand", ["s", "r"], "r", "dense", 0.001, 0.15)
 
 
 @query("""
@@ -512,12 +493,12 @@ _FEW = f"WITH {_CELLS}, p AS (SELECT s_acctbal / 10000 - 0.4::DOUBLE AS px, s_na
 
 @query(_FEW + " SELECT row, col, round(max(exp(-((x - px) * (x - px) + (y - py) * (y - py)) / (2 * 0.1::DOUBLE * 0.1::DOUBLE))), 6) AS value FROM c, p GROUP BY row, col")
 def gaussian_field(spark, sf_dir):
-    return grids.gaussian_field(_cells(spark), _few(spark, sf_dir), 0.1)
+    return grids.gaussian_field(_cells(spark), _few(spark, sf_dir), 0.1).withColumn("value", F.round("value", 6))
 
 
 @query(_FEW + " SELECT row, col, round(min(sqrt((x - px) * (x - px) + (y - py) * (y - py))), 6) AS distance FROM c, p GROUP BY row, col")
 def distance_field(spark, sf_dir):
-    return grids.distance_field(_cells(spark), _few(spark, sf_dir), 1.2 * math.sqrt(2))
+    return grids.distance_field(_cells(spark), _few(spark, sf_dir), 1.2 * math.sqrt(2)).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT p_brand, count(*) AS n, round(count(*) * 0.01::DOUBLE / (8 * (avg(p_size) * avg(p_retailprice) / 1000 + avg(p_size) + avg(p_retailprice) / 1000)), 6) AS coverage, count(*) >= 64 AS dense FROM part GROUP BY p_brand")
@@ -590,7 +571,7 @@ def scene_discovery_dups(spark, sf_dir):
     return store.duplicates(table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("k")), "k").select("k.l_orderkey", "k.l_linenumber", "n")
 
 
-@query("SELECT o_orderkey, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority)) AS fingerprint FROM orders")
+@query("SELECT o_orderkey, sha256(CAST(to_json({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus, 'o_orderpriority': o_orderpriority}) AS VARCHAR)) AS fingerprint FROM orders")
 def fingerprint(spark, sf_dir):
     return store.fingerprint(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"]).select("o_orderkey", "fingerprint")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,19 @@ def frame_index(scenes: DataFrame, scene: str, frames: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: list[str], name: str = "fingerprint") -> DataFrame:
-    """SHA-256 of the named columns, in that order; nulls are marked."""
-    return df.withColumn(name, F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns)), 256))
+    """SHA-256 of the named columns as a JSON object, in that order; nulls are written."""
+    return df.withColumn(name, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the folder that spark.checkpoint.dir names; a folder of our own only in a local session that names none."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+    return df.checkpoint(eager=True)
 
 
 def unfinished(work: DataFrame, manifest: DataFrame, key: str, fingerprint_col: str = "fingerprint") -> DataFrame:

@@ -2,8 +2,10 @@
 
 import itertools
 import math
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import common, decontaminate, embedding_dedup, langid, licenses, line_dedup, repair, simhash, sptok, suffix_dedup, toxicity
+from gridloom.llm import common, decontaminate, embedding_dedup, langid, licenses, line_dedup, queries, repair, simhash, sptok, suffix_dedup, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, node long, h long, words string, gram long"
 
@@ -32,7 +34,7 @@ AWKWARD = [(1, None), (2, ""), (3, "   \n\n "), (None, "alpha beta gamma"), (4,
 @pytest.mark.parametrize("run", [
     simhash.groups, simhash.keep_first, line_dedup.drop_boilerplate, suffix_dedup.repeated_passages, licenses.detect, repair.shards, sptok.encode,
     lambda d: langid.identify(d, langid.fit(d)), lambda d: decontaminate.contamination(d, d.select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 200).alias("text"))),
-    lambda d: toxicity.classify(d, toxicity.fit(d, d.select("doc_id", F.lit(1).alias("toxic")))), lambda d: toxicity.keep_clean(d, (0.0, {})),
+    lambda d: toxicity.classify(d, toxicity.fit(d, d.select("doc_id", F.lit(1).alias("toxic")))), lambda d: toxicity.keep_clean(d, toxicity.NOTHING),
 ])
 def test_awkward_and_empty(spark, run):
     d = docs(spark, AWKWARD)
@@ -75,11 +77,19 @@ def test_components_both_ways(spark):
     assert small == large and {small[k] for k in range(100, 131)} == {100}
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, monkeypatch):
     rows = [(i, f"menu\nbody {i}\n\n menu ", "en", "a" if i < 10 else None) for i in range(20)] + [(30 + i, "menu\nrare", "en", f"h{i}") for i in range(3)]
     got = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs(spark, rows), count_col="gone").collect()}
     assert got[3].text == "body 3\n" and got[3].gone == 2 and got[13].text == "body 13\n" and got[31].text == "menu\nrare"
     assert len(line_dedup.drop_boilerplate(docs(spark, rows)).columns) == 9
+    odd = [(1, None, "en", "a"), (2, "", "en", "a"), (3, " \n", "en", "a"), (4, "x\ny", "en", "a"), (4, "x\nz", "en", "a"), (None, "x", "en", "b")]
+    d = docs(spark, odd).withColumn("gone", F.lit("clash"))
+    want = {(1, None, 0), (2, "", 0), (3, " \n", 0), (4, "y", 1), (4, "z", 1), (None, "x", 0)}
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 1 << 20)
+    assert {(r.doc_id, r.text, r.gone) for r in line_dedup.drop_boilerplate(d, count_col="gone").collect()} == want
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)  # the other way gives the same rows
+    assert {(r.doc_id, r.text, r.gone) for r in line_dedup.drop_boilerplate(d, count_col="gone").collect()} == want
+    assert {r.doc_id: r for r in line_dedup.drop_boilerplate(docs(spark, rows), count_col="gone").collect()} == got
 
 
 def test_suffix_sort_against_windows(spark):
@@ -106,6 +116,33 @@ def test_suffix_sort_against_windows(spark):
     assert got == want and len(want) > 100
 
 
+def test_a_gram_in_half_of_all_documents(spark):
+    """Grams that many share go another way, to the same rows."""
+    rng, notice = random.Random(11), words(40, 77)
+    rows = [(i, " ".join(words(rng.randrange(5, 30), i) + (notice if i % 2 else []) + words(9, i + 300))) for i in range(80)]
+    d = docs(spark, [*rows, rows[1], (500, " ".join(notice * 3))])
+    plain, split = ({tuple(r) for r in suffix_dedup.repeated_passages(d, depth=12, hot=h).collect()} for h in (10**6, 8))
+    assert plain == split and len({r[0] for r in plain}) >= 41
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    c = duckdb.connect()
+    for n in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {n} AS SELECT * FROM '/root/testdata/sf0.001/{n}.parquet'")
+    return c
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_rows_as_sql(spark, duck, name):
+    ours, theirs = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), duck.execute(queries.SQL[name]).df()
+    rows = lambda df: sorted(df[sorted(df.columns)].astype(object).itertuples(index=False, name=None), key=repr)
+    assert sorted(ours.columns) == sorted(theirs.columns) and rows(ours) == rows(theirs)
+
+
 def test_decontamination_recall(spark):
     rng = random.Random(5)
     items = [(i, " ".join(words(rng.randrange(20, 50), 200 + i, 5000))) for i in range(60)]
@@ -167,6 +204,42 @@ def test_toxicity_held_out_and_fair():
     assert sum(score(fair, c) > 0 for c in neutral) == 0
 
 
+def test_toxicity_features_and_loss_against_brute_force():
+    """Features counted one by one, and a point from which no step in any feature lessens the loss."""
+    make, words = toxicity.Features(), Counter({"muslim": 2, "abcdefghij": 1, "a": 5})
+    import xxhash
+
+    plain = Counter()
+    for w, c in words.items():
+        for f in {w, *(w[:k] + "*" for k in range(4, 9) if len(w) > k)}:
+            plain[f] += c
+    f, v = toxicity.of_words(words, make)
+    assert dict(zip(f.tolist(), v.tolist())) == {int(np.uint64(xxhash.xxh64_intdigest(x)).view(np.int64)): min(1.0, toxicity.RATE * c / 8) for x, c in plain.items()}
+    rng = random.Random(2)
+    rows = [(Counter(words_) , y) for words_, y in (([f"w{rng.randrange(25)}" for _ in range(12)] + ["bad"] * y + ["man"] * (i % 3 == 0), y) for i, y in ((i, i % 2) for i in range(60)))]
+    b, hashes, w = toxicity.train(rows, ridge=1e-2)
+
+    def loss(b, w):
+        at, total = dict(zip(hashes.tolist(), w.tolist())), 0.0
+        dot = lambda c: sum(x * at.get(k, 0.0) for k, x in zip(*(z.tolist() for z in toxicity.of_words(c, make))))
+        named = [c for c, _ in rows if not toxicity.SWAP.keys().isdisjoint(c)]
+        for c, y in rows:
+            z = b + dot(c)
+            total += (math.log1p(math.exp(-z)) if y else math.log1p(math.exp(z))) / len(rows)
+        return total + 0.5e-2 * float(w @ w) + toxicity.FAIR / len(named) * sum((dot(c) - dot(toxicity.swapped(c))) ** 2 for c in named)
+
+    here = loss(b, w)
+    for k in range(len(w)):
+        for step in (-0.05, 0.05):
+            moved = w.copy()
+            moved[k] += step
+            assert loss(b, moved) > here
+    text = " ".join(rows[0][0].elements())
+    at = dict(zip(hashes.tolist(), w.tolist()))
+    assert abs(toxicity.Scorer((b, hashes, w)).texts([text])[0] - b - sum(x * at[k] for k, x in zip(*(z.tolist() for z in toxicity.of_words(rows[0][0], make))))) < 1e-5
+    assert toxicity.train([(Counter("ab"), 1)] * 3) is toxicity.NOTHING
+
+
 def test_licenses(spark):
     assert len(licenses.rules()) >= 200
     scan = licenses.Scanner().scan
@@ -218,10 +291,27 @@ def test_license_gate_drops_nothing():
             if rx.search(made):
                 seen += 1
                 for text in (made, made.upper(), made.replace("s", "\u017f")):
-                    assert scanner.scan(text) == scanner.matches(text, range(len(scanner.rules))), (name, text)
+                    assert scanner.scan(text) == scanner.matches(licenses.bare(text), range(len(scanner.rules))), (name, text)
+                for lead in (" * ", "# ", "// ", ";; ", "-- "):
+                    wrapped = f"/*\n{lead}" + re.sub(r"\s+", f"\n{lead}", made)
+                    assert (k in {x[3] for x in scanner.matches(licenses.bare(wrapped), [k])}) == bool(rx.search(re.sub(r"\s+", "\n", made))), (name, wrapped)
+                    assert scanner.scan(wrapped) == scanner.matches(licenses.bare(wrapped), range(len(scanner.rules)))
         assert seen, name
 
 
+def test_license_resolve_is_fast_and_that_of_the_plain_rule():
+    began = time.time()
+    assert len(licenses.Scanner().scan("MIT License.\n" * 80_000)) == 80_000 and time.time() - began < 10
+    for seed in range(200):
+        rng = random.Random(seed)
+        found = [(rng.randrange(3), a, a + rng.randrange(1, 9), rng.randrange(4), "x") for a in (rng.randrange(20) for _ in range(25))]
+        taken = []
+        for row in sorted(set(found), key=lambda r: (-r[0], r[1] - r[2], r[1], r[3])):
+            if not any(t[1] <= row[1] and row[2] <= t[2] for t in taken):
+                taken.append(row)
+        assert licenses.resolve(found) == sorted(taken, key=lambda r: (r[1], r[2], r[3]))
+
+
 def test_language_id_words_then_grams(spark):
     model = list(langid.count([("en", "the house the dog the cat house dog"), ("de", "der hund das haus der hund das haus")]))
     scorer = langid.Scorer(model)
@@ -237,6 +327,26 @@ def test_language_id_words_then_grams(spark):
     assert scorer.texts([text])[0][0] == scorer.langs[int(np.argmax(total))]
 
 
+def test_language_id_fit_counts_all_and_identifies_held_out_texts(spark):
+    rng, langs = random.Random(3), ("aa", "bb", "cc")
+    pool = {x: ["".join(rng.choice("aeiou" + "bcdfghklmnprst"[3 * k : 3 * k + 8]) for _ in range(rng.randrange(3, 9))) for _ in range(400)] for k, x in enumerate(langs)}
+    text = lambda x: " ".join(rng.choice(pool[x]) for _ in range(40))
+    train = [(i, text(langs[i % 3]), langs[i % 3]) for i in range(150)]
+    odd = [(900, None, "aa"), (901, "", "aa"), (902, "x y", None), train[0]]
+    d = docs(spark, train + odd)
+    model = langid.fit(d)
+    assert model == langid.count((x, t) for t, x in {(t, x) for _, t, x in [*train, (901, "", "aa")]})
+    part = langid.fit(d, sample=60)
+    assert {r[:3] for r in part} < {r[:3] for r in model} and 20 < sum(r[3] for r in part if r[0] == "w") / 40 < 110
+    held = [(i, text(langs[i % 3]) + " zzqq", langs[i % 3]) for i in range(200)]
+    got = {r.doc_id: r for r in langid.identify(docs(spark, held + [(500, None), (501, "")]), model).collect()}
+    assert sum(got[i].predicted == x for i, _, x in held) >= 196
+    assert got[500][1:] == (None, None, None, None) and got[501][1:] == ("und", 0, 0, 0.0)
+    # ties: the language that sorts first
+    tie = langid.Scorer(langid.count([("bb", "same"), ("aa", "same")]))
+    assert tie.texts(["same same"])[0][0] == "aa"
+
+
 def test_embedding_pairs_are_exact(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(60, 32))
@@ -357,7 +467,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     want = {i: t.replace("menu of the site\n", "") for i, t in rows if i < 120 and i % 6}
-    assert set(got) == set(want)
+    emptied = {400: (None, None), 401: (0, [])}
+    assert set(got) == set(want) | set(emptied) and {i: (got[i].n_tokens, got[i].token_ids) for i in emptied} == emptied
     codec = sptok.Codec(sptok.Pieces.load())
     assert all(got[i].token_ids == codec.encode([t])[0].tolist() for i, t in want.items())
     assert [n for n, _ in corpus_pipeline.STAGES][2] == "SimHash near-dedup" and rng

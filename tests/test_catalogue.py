@@ -41,7 +41,7 @@ def test_others_run(spark, name):
 
 def test_whole_polyline_queries_take_all_users(spark, duck):
     """Each customer whose user has a segment is matched, and each such user is somebody's."""
-    got = {r.c_custkey for r in catalogue.QUERIES["polyline_match_all"](spark, SF).collect()}
+    got = {r.c_custkey for r in catalogue.QUERIES["polyline_match"](spark, SF).collect()}
     n = duck.execute("SELECT max(user_id) + 1 FROM events").fetchone()[0]
     tracks = {u for (u,) in duck.execute("SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 1").fetchall()}
     customers = {c for (c,) in duck.execute("SELECT c_custkey FROM customer").fetchall()}
