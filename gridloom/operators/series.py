@@ -114,3 +114,21 @@ def runs(df: DataFrame, flag: Column, key: list[str], order: list[str], name: st
 def sticky(value: Column, w: WindowSpec) -> Column:
     """The last value that wasn't null."""
     return F.last(value, True).over(running(w))
+
+
+def history(value: Column, w: WindowSpec, n: int) -> Column:
+    """The up to n values before a row, the oldest first; it is full when there are n."""
+    return F.collect_list(value).over(w.rowsBetween(-n, -1))
+
+
+def finalised(df: DataFrame, key: str, t: str, tie: str, gap: float, value: str) -> DataFrame:
+    """Rows of drives that end where the key is silent for more than ``gap``, with what is known only at a drive's end.
+
+    Adds ``drive`` (from 1), ``frames`` of the drive, ``future`` rows left in it and the ``next_value``.
+    """
+    w = Window.partitionBy(key).orderBy(t, tie)
+    new = F.when(F.col(t) - F.lag(t).over(w) <= gap, 0).otherwise(1)
+    rows = df.withColumn("_new", new).withColumn("drive", F.sum("_new").over(running(w)).cast("long"))
+    inner = Window.partitionBy(key, "drive").orderBy(t, tie)
+    rows = rows.withColumns({"frames": F.count("*").over(Window.partitionBy(key, "drive")), "_i": F.row_number().over(inner), "next_value": F.lead(value).over(inner)})
+    return rows.withColumn("future", F.col("frames") - F.col("_i")).drop("_new", "_i")

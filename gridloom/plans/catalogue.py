@@ -12,7 +12,6 @@ from gridloom.functions import geometry as G
 from gridloom.functions import scalar as S
 from gridloom.operators import grids, joins, mesh, series, voxel
 from gridloom.sources import store
-from gridloom.streaming import machines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -593,34 +592,3 @@ def constraint_violations(spark, sf_dir):
 def status_priority(spark, sf_dir):
     v = F.col("value")
     return table(spark, sf_dir, "events").select("event_id", F.when(v > 400, "collision").when(v < 5, "success").when(v > 200, "off_route").when(F.col("event_id") % 100 == 0, "max_steps").otherwise("running").alias("status"))
-
-
-# machines: folds in order, beyond plain SQL; tests hold them against loops
-
-
-def _rows(spark, sf_dir, **extra):
-    return events(spark, sf_dir).select(F.col("user_id").alias("key"), "t", "event_id", *(c.alias(n) for n, c in extra.items()))
-
-
-@query()
-def recovery_machine(spark, sf_dir):
-    step, init = machines.recovery()
-    return machines.fold(_rows(spark, sf_dir, hit=F.col("value") > 250), "key", ["t", "event_id"], step, init, "key long, t double, status string")
-
-
-@query()
-def segmenter(spark, sf_dir):
-    step, init = machines.segmenter(4096, True)
-    return machines.fold(_rows(spark, sf_dir, size=(F.col("value") * 10).cast("long")), "key", ["t", "event_id"], step, init, "key long, t double, segment long, used long, stored boolean")
-
-
-@query()
-def pid_control(spark, sf_dir):
-    step, init = machines.pid(0.5, 0.05, 0.1, 20.0, 0.2)
-    return machines.fold(_rows(spark, sf_dir, error=(F.col("value") - 100) / 100), "key", ["t", "event_id"], step, init, "key long, t double, effort double")
-
-
-@query()
-def nav_progress(spark, sf_dir):
-    step, init = machines.navigator([(20.0 * k, 0.0) for k in range(30)], 5)
-    return machines.fold(_rows(spark, sf_dir, x=F.col("value"), y=F.lit(0.0)), "key", ["t", "event_id"], step, init, "key long, t double, index long, reached boolean")
