@@ -16,14 +16,14 @@ repeated rows are scored each, and count once in the fit; an empty table gives a
 
 from __future__ import annotations
 
-import math
 import re
 from array import array
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,6 @@ from gridloom.llm.common import WordIndex, map_texts
 SAMPLE = 10_000
 SMOOTH = 0.5
 letters_of = re.compile(r"[^\W\d_]+").findall
-Model = dict[str, dict[str, dict[str, int]]]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -60,21 +59,47 @@ def count(pairs: Iterator[tuple[str, str]]) -> list[tuple[str, str, str, int]]:
     return sorted((*k, c) for k, c in grams_of((lang, w, c) for (lang, w), c in seen.items()).items())
 
 
+class Model:
+    """(kind, language, key, count) rows in order, held as one Arrow table: a whole sample's n-grams are too many for tuples on the driver."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.sort_by([(c, "ascending") for c in ("kind", "lang", "key")]).combine_chunks()
+
+    @classmethod
+    def of(cls, rows: Iterable[tuple[str, str, str, int]]) -> Model:
+        cols = list(zip(*rows)) or [()] * 4
+        return cls(pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "lang", "key", "n"), cols, (pa.string(),) * 3 + (pa.int64(),))}))
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, int]]:
+        return zip(*(c.to_pylist() for c in self.table.columns))
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Iterable) and list(self) == list(other)
+
+
+class _Logs:
+    """Log shares by language of each key, as rows of one matrix."""
+
+    def __init__(self, rows: pa.Table, langs: list[str]):
+        keys = rows["key"].combine_chunks().dictionary_encode() if len(rows) else pa.array([], pa.string()).dictionary_encode()
+        lang = np.searchsorted(np.array(langs), rows["lang"].to_numpy(zero_copy_only=False).astype(str)) if len(rows) else np.zeros(0, np.int64)
+        counts = np.zeros((len(keys.dictionary), len(langs)))
+        np.add.at(counts, (keys.indices.to_numpy(), lang), rows["n"].to_numpy())
+        self.rows = {k: i for i, k in enumerate(keys.dictionary.to_pylist())}
+        self.logs = np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(counts) + 1)))
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.rows
+
+    def __getitem__(self, key: str) -> list[float]:
+        return self.logs[self.rows[key]].tolist()
+
+
 class Scorer:
-    def __init__(self, rows: list[tuple[str, str, str, int]], keep: int = 300_000):
-        self.langs = sorted({r[1] for r in rows})
-        at = {x: k for k, x in enumerate(self.langs)}
-        self.tables: dict[str, dict[str, list[float]]] = {}
-        by: dict[str, list] = defaultdict(list)
-        for row in rows:
-            by[row[0]].append(row)
-        for kind in ("w", "1", "2", "3", "4"):
-            counts: dict[str, list[int]] = {}
-            total = [0] * len(self.langs)
-            for _, lang, key, c in by[kind]:
-                counts.setdefault(key, [0] * len(self.langs))[at[lang]] += c
-                total[at[lang]] += c
-            self.tables[kind] = {key: [math.log((c + SMOOTH) / (t + SMOOTH * (len(counts) + 1))) for c, t in zip(cs, total)] for key, cs in counts.items()}
+    def __init__(self, rows: Iterable[tuple[str, str, str, int]], keep: int = 300_000):
+        table = (rows if isinstance(rows, Model) else Model.of(rows)).table
+        self.langs = sorted(set(table["lang"].unique().to_pylist()))
+        self.tables = {kind: _Logs(table.filter(pc.equal(table["kind"], kind)), self.langs) for kind in ("w", "1", "2", "3", "4")}
         self.reset()
         self.index = WordIndex(self._add, self.reset, keep)
 
@@ -84,8 +109,8 @@ class Scorer:
             return self.tables["w"][w], True
         for n in range(4, 0, -1):
             table = self.tables[str(n)]
-            if hit := [table[g] for g in grams(w, n) if g in table]:
-                return [sum(x) / len(hit) for x in zip(*hit)], False
+            if hit := [table.rows[g] for g in grams(w, n) if g in table]:
+                return (table.logs[hit].sum(axis=0) / len(hit)).tolist(), False
         return [0.0] * len(self.langs), False
 
     def reset(self) -> None:
@@ -120,7 +145,7 @@ class Scorer:
         return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> list[tuple[str, str, str, int]]:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Model rows from a sample of the labelled rows, ``sample`` as expected. Spark counts; only the bounded model comes here."""
     rows = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).where("lang is not null and text is not null")
     if n := rows.count():
@@ -144,10 +169,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in found], pa.string()) for i in range(3)), pa.array(list(found.values()), pa.int64())], names=["kind", "lang", "key", "n"])
 
     model = counts.mapInArrow(pieces, "kind string, lang string, key string, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n"))
-    return sorted(tuple(r) for r in model.collect())
+    return Model(model.toArrow())
 
 
-def identify(docs: DataFrame, model: list[tuple[str, str, str, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, predicted, n_words, n_known, margin) of every row. The model is that of a bounded sample."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
