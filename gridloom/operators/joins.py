@@ -66,22 +66,24 @@ def segments_near(points: DataFrame, segs: DataFrame, pid: str, line: str, x: st
     return home.join(spread, (home[line] == spread["line"]) & (home["cx"] == spread["cx"]) & (home["cy"] == spread["cy"])).where(d <= radius).select(pid, "seq")
 
 
-def asof_lerp(series: DataFrame, asks: DataFrame, key: str, t: str, at: str, value: str, tie: str) -> DataFrame:
-    """``asks`` with ``value`` interpolated linearly at ``at``; null before the first and after the last time.
+def asof_lerp(series: DataFrame, asks: DataFrame, key: str, t: str, at: str, value: str | list[str], tie: str) -> DataFrame:
+    """``asks`` with the values interpolated linearly at ``at``; null before the first and after the last time.
 
     Of equal times the last row (by ``tie``) begins the interval. Both sides lie in one order of times, so a window
     finds the rows about each ask; nothing is paired.
     """
-    none = F.lit(None)
-    s = series.select(F.col(key).alias("_k"), F.col(t).alias("_t"), F.col(value).cast("double").alias("_v"), F.lit(0).alias("_ask"), F.col(tie).cast("long").alias("_tie"), none.alias("_row"))
-    a = asks.select(F.col(key).alias("_k"), F.col(at).alias("_t"), none.cast("double").alias("_v"), F.lit(1).alias("_ask"), none.cast("long").alias("_tie"), F.struct(*asks.columns).alias("_row"))
+    none, values = F.lit(None), [value] if isinstance(value, str) else value
+    v = [f"_v{k}" for k in range(len(values))]
+    s = series.select(F.col(key).alias("_k"), F.col(t).alias("_t"), *(F.col(c).cast("double").alias(n) for c, n in zip(values, v)), F.lit(0).alias("_ask"), F.col(tie).cast("long").alias("_tie"), none.alias("_row"))
+    a = asks.select(F.col(key).alias("_k"), F.col(at).alias("_t"), *(none.cast("double").alias(n) for n in v), F.lit(1).alias("_ask"), none.cast("long").alias("_tie"), F.struct(*asks.columns).alias("_row"))
     w = Window.partitionBy("_k").orderBy("_t", "_ask", "_tie")
-    point = F.when(F.col("_ask") == 0, F.struct("_t", "_v"))
+    point = F.when(F.col("_ask") == 0, F.struct("_t", *v))
     rows = s.withColumn("_row", none.cast(a.schema["_row"].dataType)).union(a)
     rows = rows.withColumns({"_p": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.first(point, True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where("_ask = 1")
     share = F.try_divide(F.col("_t") - F.col("_p._t"), F.col("_n._t") - F.col("_p._t"))
-    exact = F.when(F.col("_p._t") == F.col("_t"), F.col("_p._v"))
-    return rows.select("_row.*", F.coalesce(F.col("_p._v") + share * (F.col("_n._v") - F.col("_p._v")), exact).alias(value))
+    same = F.col("_p._t") == F.col("_t")
+    at_t = lambda n: F.coalesce(F.col(f"_p.{n}") + share * (F.col(f"_n.{n}") - F.col(f"_p.{n}")), F.when(same, F.col(f"_p.{n}")))
+    return rows.select("_row.*", *(at_t(n).alias(c) for c, n in zip(values, v)))
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, key: str, t: str, right_id: str) -> DataFrame:

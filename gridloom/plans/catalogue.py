@@ -508,10 +508,10 @@ def surface_coverage(spark, sf_dir):
 
 
 def _faces(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("face"), (F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b"), (F.col("l_orderkey") % 40).alias("c")).distinct()
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("face"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_orderkey").alias("c")).distinct()
 
 
-_FACES = "WITH f AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS face, l_partkey % 40 AS a, l_suppkey % 40 AS b, l_orderkey % 40 AS c FROM lineitem)"
+_FACES = "WITH f AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS face, l_partkey AS a, l_suppkey AS b, l_orderkey AS c FROM lineitem)"
 
 
 @query(_FACES + """, e AS (SELECT least(a, b) AS u, greatest(a, b) AS v FROM f UNION ALL SELECT least(b, c), greatest(b, c) FROM f UNION ALL SELECT least(c, a), greatest(c, a) FROM f), n AS (SELECT u, v, count(*) AS n FROM e GROUP BY u, v)

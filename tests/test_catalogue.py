@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from gridloom.plans import catalogue, costs, frames, losses, scenes, state  # noqa: F401 - they register their queries
+from gridloom.plans import catalogue, costs, datasets, frames, losses, scenes, state  # noqa: F401 - they register their queries
 
 SF = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
