@@ -41,13 +41,13 @@ _LABELS = """CAST(stands AND front AS INTEGER) AS obstacle_stop, CAST(red AS INT
 ), p AS (SELECT *, coalesce(lag(x) OVER o, x) AS ox, coalesce(lag(y) OVER o, y) AS oy, coalesce(lag(yaw) OVER o, yaw) AS ow, row_number() OVER o > 1 AS previous_valid FROM a WINDOW o AS (PARTITION BY user_id ORDER BY t, event_id)
 ), j AS (SELECT p.*, lx, ly, n_valid, xs, speed <= 0.5 AS stands, event_id % 7 = 0 AS front, event_type = 'error' AND (speed <= 0.5 OR event_id % 30 >= speed * 1 + speed * speed / 8 + 2) AS red FROM p JOIN l USING (user_id, event_id))
 SELECT event_id, previous_valid, round(cos(radians(ow - yaw)), 5) + 0 AS m11, round(-sin(radians(ow - yaw)), 5) + 0 AS m12, round(cos(radians(yaw)) * (ox - x) + sin(radians(yaw)) * (oy - y), 5) + 0 AS tx, round(cos(radians(yaw)) * (oy - y) - sin(radians(yaw)) * (ox - x), 5) + 0 AS ty,
-  round(list_sum(xs), 3) + 0 AS way_sum, n_valid, red AS red_stop_valid, {_LABELS} FROM j""")
+  round(list_sum(xs), 5) + 0 AS way_sum, n_valid, red AS red_stop_valid, {_LABELS} FROM j""")
 def driving_rows(spark, sf_dir):
     # events are hours apart, so time counts in steps of 10,000 seconds
     k = C("event_id")
     out = rows.driving_rows(_states(spark, sf_dir).withColumn("t", C("t") / 10000), "user_id", "event_id", "t", "x", "y", "yaw", "speed", 4, 2.16, k % 7 == 0, C("event_type") == "error", (k % 30).cast("double"))
     total = F.aggregate("trajectory", F.lit(0.0), lambda a, p: a + F.round(p["wx"], 5))
-    return out.select("event_id", "previous_valid", *(_r(C(c)).alias(c) for c in ("m11", "m12", "tx", "ty")), _r(total, 3).alias("way_sum"), F.size(F.filter("trajectory", lambda p: p["valid"])).cast("long").alias("n_valid"), "red_stop_valid", *rows.BEHAVIOURS)
+    return out.select("event_id", "previous_valid", *(_r(C(c)).alias(c) for c in ("m11", "m12", "tx", "ty")), _r(total).alias("way_sum"), F.size(F.filter("trajectory", lambda p: p["valid"])).cast("long").alias("n_valid"), "red_stop_valid", *rows.BEHAVIOURS)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_extendedprice, round((l_partkey % 256 / 255e0 - 0.485e0) / 0.229e0, 6) + 0 AS red, round((l_suppkey % 256 / 255e0 - 0.456e0) / 0.224e0, 6) + 0 AS green, round(ln(1 + least(l_quantity * 3, 100)) / 5, 6) AS depth_target, l_quantity * 3 > 0 AND l_quantity * 3 < 100 AS in_range, CASE WHEN l_linenumber IN (1, 4) THEN 255 ELSE l_linenumber END AS class FROM lineitem""")

@@ -95,13 +95,13 @@ _MODES = f"{_WEIGHTS}, z AS (SELECT k, n, weight, g AS mode, x * (g - 1) * 0.1e0
 
 
 @query(f"""WITH {_MODES}, p AS (SELECT z.k, z.mode, sum((CASE WHEN abs(ex) < 1 THEN 0.5e0 * ex * ex ELSE abs(ex) - 0.5e0 END + CASE WHEN abs(ey) < 1 THEN 0.5e0 * ey * ey ELSE abs(ey) - 0.5e0 END) * weight) AS l, sum(weight) AS w, CASE WHEN z.mode = any_value(best.mode) THEN 1e0 ELSE 0.1e0 END AS s FROM z JOIN best USING (k) GROUP BY z.k, z.mode)
-SELECT k, best.mode, round(sum(l * s) / greatest(max(w) * sum(s), 1), 5) AS loss FROM p JOIN best USING (k) GROUP BY k, best.mode""")
+SELECT k, best.mode, round(sum(l * s) / greatest(max(w) * sum(s), 1) + 1e-9, 5) AS loss FROM p JOIN best USING (k) GROUP BY k, best.mode""")
 def trajectory_matching(spark, sf_dir):
     rows = _weighted(spark, sf_dir).withColumn("mode", F.explode(F.array(*map(F.lit, range(4)))))
     rows = rows.select("k", "n", "weight", "mode", (C("x") * (C("mode") - 1) * 0.1).alias("ex"), ((C("k") + C("mode")) % 3 - 1).cast("double").alias("ey"))
     best = losses.match_modes(rows, "k", "mode", "weight", F.sqrt(C("ex") * C("ex") + C("ey") * C("ey")))
     loss = losses.trajectory_losses(rows, "k", "mode", "weight", smooth_l1(C("ex")) + smooth_l1(C("ey")), best, 0.1)
-    return best.join(loss, "k").select("k", "mode", F.round("loss", 5).alias("loss"))
+    return best.join(loss, "k").select("k", "mode", F.round(C("loss") + 1e-9, 5).alias("loss"))
 
 
 @query(f"""WITH {_TRACK}, t AS (SELECT *, lag(x) OVER o AS bx, lag(y) OVER o AS by_, lead(x) OVER o AS ax, lead(y) OVER o AS ay FROM w WINDOW o AS (PARTITION BY k ORDER BY n)
