@@ -24,13 +24,23 @@ def beyond(cells: DataFrame, bin: Column, distance: Column, reach: DataFrame) ->
     return cells.withColumn("bin", bin.cast("long")).join(reach, "bin", "left").withColumn("risk", distance > F.coalesce("reach", F.lit(0.0)))
 
 
+def nearest_squared(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """``cells`` (row, col, x, y) with ``d2``: the squared distance to the nearest of the points (px, py), null without points.
+
+    The cells are a raster of a size that its parameters bound, so they go to the points, of which there may be any
+    number; each task keeps one minimum a cell, and only those are shuffled.
+    """
+    d2 = (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py"))
+    near = points.select("px", "py").distinct().join(F.broadcast(cells)).groupBy("row", "col").agg(F.min(d2).alias("d2"))
+    return cells.join(near, ["row", "col"], "left")
+
+
 def gaussian_field(cells: DataFrame, points: DataFrame, sigma: float) -> DataFrame:
-    """The greatest of the Gaussians about the points (px, py) at each cell; 0 without points. The points are few."""
-    d = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-    return cells.join(points, how="left").groupBy("row", "col").agg(F.coalesce(F.max(F.exp(-d / (2 * sigma * sigma))), F.lit(0.0)).alias("value"))
+    """The greatest of the Gaussians about the points (px, py) at each cell, which is that of the nearest; 0 without points."""
+    value = F.exp(-F.col("d2") / (2 * sigma * sigma))
+    return nearest_squared(cells, points).select("row", "col", F.coalesce(value, F.lit(0.0)).alias("value"))
 
 
 def distance_field(cells: DataFrame, points: DataFrame, none: float) -> DataFrame:
     """Distance to the nearest foreground point; ``none`` without any."""
-    d = F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2)
-    return cells.join(points, how="left").groupBy("row", "col").agg(F.coalesce(F.min(d), F.lit(none)).alias("distance"))
+    return nearest_squared(cells, points).select("row", "col", F.coalesce(F.sqrt("d2"), F.lit(none)).alias("distance"))

@@ -35,11 +35,38 @@ def pairs_in_range(points: DataFrame, pid: str, x: str, y: str, least: float, mo
     return left.join(right, ["cx", "cy"]).where("i != j").select("i", "j", d.alias("distance")).where(F.col("distance").between(least, most))
 
 
-def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, same: Column, distance: Column, radius: float) -> DataFrame:
-    """(left_id, nearest): the right id of least distance within the radius, -1 without one. Sides are aliased l and r."""
-    joined = left.alias("l").join(right.alias("r"), same & (distance <= radius), "left")
-    best = F.min(F.when(F.col(f"r.{right_id}").isNotNull(), F.struct(distance.alias("d"), F.col(f"r.{right_id}").alias("id"))))
-    return joined.groupBy(F.col(f"l.{left_id}").alias(left_id)).agg(best.alias("m")).select(left_id, F.coalesce("m.id", F.lit(-1)).alias("nearest"))
+def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: tuple[str, str], at: tuple[str, str], radius: float) -> DataFrame:
+    """(left_id, nearest): the right id of the key least far along an axis, within the radius, -1 without one; the lesser id of equal ones.
+
+    ``key`` and ``at`` name the left and the right column. Sides meet by key and cells as wide as the radius.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius)
+    l = left.select(F.col(left_id), F.col(key[0]).alias("_k"), F.col(at[0]).alias("_l"), cell(at[0]).alias("_c"))
+    r = right.select(F.col(right_id).alias("_id"), F.col(key[1]).alias("_k"), F.col(at[1]).alias("_r"), F.explode(F.sequence(cell(at[1]) - 1, cell(at[1]) + 1)).alias("_c"))
+    d = F.abs(F.col("_l") - F.col("_r"))
+    near = l.join(r, ["_k", "_c"]).where(d <= radius).groupBy(left_id).agg(F.min(F.struct(d.alias("d"), F.col("_id").alias("id"))).alias("m"))
+    return left.select(left_id).distinct().join(near, left_id, "left").select(left_id, F.coalesce("m.id", F.lit(-1)).alias("nearest"))
+
+
+def nearest_k(left: DataFrame, right: DataFrame, left_id: str, right_id: str, key: tuple[str, str], at: tuple[str, str], k: int) -> DataFrame:
+    """(left_id, right_id, place): the k right rows of the key nearest along an axis, by distance and then id.
+
+    Only the k rows before a left row and the k after it can be among them: a row's place in the order of the right side
+    is a running count, and the rows about it join by their number. Nothing is paired beyond 2 k rows each.
+    """
+    r = right.select(F.col(key[1]).alias("_k"), F.col(at[1]).cast("double").alias("_x"), F.col(right_id).alias("_id"))
+    none = F.lit(None)
+    w = Window.partitionBy("_k").orderBy("_x", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    asks = left.select(F.col(key[0]).alias("_k"), F.col(at[0]).cast("double").alias("_x"), F.col(left_id).alias("_l"), F.lit(1).alias("_ask"))
+    marks = r.select("_k", "_x", none.cast(left.schema[left_id].dataType).alias("_l"), F.lit(0).alias("_ask"))
+    placed = marks.union(asks).withColumn("_p", F.sum(1 - F.col("_ask")).over(w)).where("_ask = 1")
+    # rows at or before: of equal ones the least id is the last in order; after: the first
+    before = r.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_x", F.desc("_id"))).cast("long")).withColumn("_side", F.lit(0))
+    after = r.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_x", "_id")).cast("long")).withColumn("_side", F.lit(1))
+    wanted = placed.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_n", F.explode(F.sequence(F.col("_p") + 1 - k + k * F.col("_side"), F.col("_p") + k * F.col("_side"))))
+    found = wanted.withColumnRenamed("_x", "_a").join(before.union(after), ["_k", "_side", "_n"])
+    rank = Window.partitionBy("_l").orderBy(F.abs(F.col("_a") - F.col("_x")), "_id")
+    return found.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= k).select(F.col("_l").alias(left_id), F.col("_id").alias(right_id), "place")
 
 
 def segments(points: DataFrame, line: str, order: list[str], x: str, y: str) -> DataFrame:

@@ -200,19 +200,30 @@ def direction_of_waypoint(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey % 25 AS frame, l_linenumber % 3 AS kind, l_extendedprice / 10 AS pos FROM lineitem WHERE l_suppkey <> 1
+WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey % 25 AS frame, l_linenumber % 3 AS kind, l_extendedprice / 10 AS pos FROM lineitem
 ), f AS (SELECT l_orderkey, l_linenumber, l_suppkey, frame, kind, pos, min(s_suppkey) AS box FROM p LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey % 3 = kind GROUP BY ALL
 ), s AS (SELECT f.l_orderkey, f.l_linenumber, f.l_suppkey, f.pos, s_suppkey AS box, row_number() OVER (PARTITION BY f.l_orderkey, f.l_linenumber, f.l_suppkey, f.pos ORDER BY ((pos - s_acctbal) / 525) * ((pos - s_acctbal) / 525), s_suppkey) AS rn FROM f JOIN supplier ON s_nationkey = frame AND s_nationkey % 3 = kind WHERE f.box IS NULL AND abs(pos - s_acctbal) <= 525)
 SELECT l_orderkey, l_linenumber, l_suppkey, pos, box, 'id' AS stage FROM f WHERE box IS NOT NULL UNION ALL SELECT l_orderkey, l_linenumber, l_suppkey, pos, box, 'box' FROM s WHERE rn = 1""")
 def fusion_primary_fallback(spark, sf_dir):
-    points = table(spark, sf_dir, "lineitem").where("l_suppkey != 1").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_extendedprice") / 10).alias("pos"), (F.col("l_partkey") % 25).alias("frame"), (F.col("l_linenumber") % 3).alias("kind"))
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_extendedprice") / 10).alias("pos"), (F.col("l_partkey") % 25).alias("frame"), (F.col("l_linenumber") % 3).alias("kind"))
     offset = (F.col("p.pos") - F.col("b.s_acctbal")) / 525
+    # a box reaches 525 both ways, so of the cells of that width it lies in three
+    cell = lambda c: F.floor(F.col(c) / 525)
+    boxes = table(spark, sf_dir, "supplier").withColumn("cell", F.explode(F.sequence(cell("s_acctbal") - 1, cell("s_acctbal") + 1)))
     return joins.primary_fallback(
-        points, table(spark, sf_dir, "supplier"), ["l_orderkey", "l_linenumber", "l_suppkey", "pos"], F.col("p.l_suppkey") == F.col("b.s_suppkey"), F.col("b.s_nationkey") % 3 == F.col("p.kind"),
-        F.col("p.frame") == F.col("b.s_nationkey"), F.when(F.abs(F.col("p.pos") - F.col("b.s_acctbal")) <= 525, offset * offset), "s_suppkey",
+        points.withColumn("cell", cell("pos")), boxes, ["l_orderkey", "l_linenumber", "l_suppkey", "pos"], F.col("p.l_suppkey") == F.col("b.s_suppkey"), F.col("b.s_nationkey") % 3 == F.col("p.kind"),
+        (F.col("p.frame") == F.col("b.s_nationkey")) & (F.col("p.cell") == F.col("b.cell")), F.when(F.abs(F.col("p.pos") - F.col("b.s_acctbal")) <= 525, offset * offset), "s_suppkey",
     )
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s_nationkey = l_partkey % 25 AND s_suppkey = l_suppkey)")
+def own_points_removed(spark, sf_dir):
+    """Points of a frame that hit the car of that frame go."""
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 25).alias("frame"))
+    cars = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("frame"), F.col("s_suppkey").alias("l_suppkey"))
+    return points.join(cars, ["frame", "l_suppkey"], "left_anti").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 def _suppliers(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_nationkey") * 100.0).alias("y"))
 
@@ -233,7 +244,7 @@ def route_pairs_resume(spark, sf_dir):
 WITH j AS (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) AS rn FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 500)
 SELECT c.c_custkey, coalesce(s_suppkey, -1) AS nearest FROM customer c LEFT JOIN j ON c.c_custkey = j.c_custkey AND rn = 1""")
 def control_nearest_radius(spark, sf_dir):
-    return joins.nearest_within(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), "c_custkey", "s_suppkey", F.col("l.c_nationkey") == F.col("r.s_nationkey"), F.abs(F.col("l.c_acctbal") - F.col("r.s_acctbal")), 500.0)
+    return joins.nearest_within(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), "c_custkey", "s_suppkey", ("c_nationkey", "s_nationkey"), ("c_acctbal", "s_acctbal"), 500.0)
 
 
 def _lines(spark, sf_dir):
@@ -322,9 +333,7 @@ def nearest_vector(spark, sf_dir):
 
 @query("""SELECT c_custkey, s_suppkey, rn AS place FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) AS rn FROM customer JOIN supplier ON c_nationkey = s_nationkey) WHERE rn <= 3""")
 def topk_nearest(spark, sf_dir):
-    both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
-    w = Window.partitionBy("c_custkey").orderBy(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "s_suppkey")
-    return both.withColumn("place", F.row_number().over(w)).where("place <= 3").select("c_custkey", "s_suppkey", "place")
+    return joins.nearest_k(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), "c_custkey", "s_suppkey", ("c_nationkey", "s_nationkey"), ("c_acctbal", "s_acctbal"), 3).select("c_custkey", "s_suppkey", "place")
 
 
 # series

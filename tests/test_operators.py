@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
 from gridloom.functions import scalar as S
-from gridloom.operators import fusion, joins, losses, mesh, series, visibility, voxel
+from gridloom.operators import fusion, grids, joins, losses, mesh, series, visibility, voxel
 from gridloom.sources import store
 from gridloom.streaming import machines
 
@@ -190,3 +190,26 @@ def test_losses_by_hand(spark):
     none = df.limit(0).agg(losses.masked_mean(F.col("x"), F.col("m")).alias("a")).first()
     assert none.a == 0.0
     assert abs(one(spark, losses.cross_entropy(F.array(F.lit(0.0), F.lit(0.0)), F.lit(1))) - math.log(2)) < 1e-12
+
+
+def test_nearest_k_against_all_pairs(spark):
+    """Ties, repeated places, keys without a right side."""
+    rng = random.Random(9)
+    left = [(i, rng.randrange(4), float(rng.randrange(12))) for i in range(60)] + [(99, 7, 1.0)]
+    right = [(i, rng.randrange(4), float(rng.randrange(12))) for i in range(80)]
+    want = set()
+    for i, k, x in left:
+        for place, (_, j) in enumerate(sorted((abs(x - b), j) for j, key, b in right if key == k)[:3], 1):
+            want.add((i, j, place))
+    a, b = spark.createDataFrame(left, "l int, k int, x double"), spark.createDataFrame(right, "r int, k int, x double")
+    assert {tuple(r) for r in joins.nearest_k(a, b, "l", "r", ("k", "k"), ("x", "x"), 3).collect()} == want
+    near = {(r.l, r.nearest) for r in joins.nearest_within(a, b, "l", "r", ("k", "k"), ("x", "x"), 2.0).collect()}
+    assert near == {(i, min(((abs(x - c), j) for j, key, c in right if key == k and abs(x - c) <= 2), default=(0, -1))[1]) for i, k, x in left}
+
+
+def test_fields_without_points(spark):
+    cells = grids.bev_cells(spark, 2, 2, (0.0, 2.0), (0.0, 2.0))
+    none = spark.createDataFrame([], "px double, py double")
+    assert {r.value for r in grids.gaussian_field(cells, none, 1.0).collect()} == {0.0} and {r.distance for r in grids.distance_field(cells, none, 9.0).collect()} == {9.0}
+    one_point = spark.createDataFrame([(0.5, 0.5)] * 2, "px double, py double")
+    assert {(r.row, r.col): r.distance for r in grids.distance_field(cells, one_point, 9.0).collect()}[(1, 0)] == 0.0
