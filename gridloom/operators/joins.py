@@ -158,3 +158,13 @@ def donors(objects: DataFrame, oid: str, kind: str, size: list[str], coverage: s
     found = a.join(b, (F.col(f"a.{kind}") == F.col(f"b.{kind}")) & (F.col("a._cell") == F.col("b._cell"))).where(is_exact | similar)
     best = found.groupBy(F.col(f"a.{oid}").alias(oid)).agg(F.min(F.struct(F.when(is_exact, 0).otherwise(1).alias("how"), norm.alias("norm"), (-F.col(f"b.{coverage}")).alias("c"), F.col(f"b.{oid}").alias("donor"))).alias("m"))
     return best.select(oid, "m.donor", F.when(F.col("m.how") == 0, "exact").otherwise("similar").alias("how"))
+
+
+def in_step(samples: DataFrame, ticks: DataFrame, sensor: str, frame: str, now: str) -> DataFrame:
+    """Samples of the frame that their sensor's tick asks for; older ones are dropped, a newer one is an error.
+
+    ``ticks``: sensor, ``now``. On a stream both sides carry a watermark, and a late sample is dropped like an older one.
+    """
+    both = samples.join(ticks, sensor)
+    late = F.when(F.col(frame) > F.col(now), F.raise_error(F.concat(F.lit("a sample of the future: "), F.col(frame).cast("string"))).cast("boolean"))
+    return both.where(F.coalesce(late, F.col(frame) == F.col(now))).drop(now)

@@ -4,11 +4,12 @@ import math
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
 from gridloom.functions import scalar as S
-from gridloom.operators import fusion, grids, joins, losses, mesh, series, visibility, voxel
+from gridloom.operators import fusion, grids, joins, losses, mesh, rows, series, visibility, voxel
 from gridloom.sources import store
 from gridloom.streaming import machines
 
@@ -213,3 +214,21 @@ def test_fields_without_points(spark):
     assert {r.value for r in grids.gaussian_field(cells, none, 1.0).collect()} == {0.0} and {r.distance for r in grids.distance_field(cells, none, 9.0).collect()} == {9.0}
     one_point = spark.createDataFrame([(0.5, 0.5)] * 2, "px double, py double")
     assert {(r.row, r.col): r.distance for r in grids.distance_field(cells, one_point, 9.0).collect()}[(1, 0)] == 0.0
+
+
+def test_samples_in_step(spark):
+    samples = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("c", 2)], "sensor string, frame int")
+    ticks = spark.createDataFrame([("a", 2), ("b", 2)], "sensor string, now int")
+    assert sorted(map(tuple, joins.in_step(samples, ticks, "sensor", "frame", "now").collect())) == [("a", 2), ("b", 2)]
+    with pytest.raises(Exception, match="of the future"):
+        joins.in_step(samples, ticks.withColumn("now", F.lit(1)), "sensor", "frame", "now").collect()
+
+
+def test_supervised_rows(spark):
+    s = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 90.0, 1.0), (1, 1, 1.0, 0.0, 2.0, 90.0, 3.0), (2, 2, 0.0, 5.0, 5.0, 0.0, 0.0)], "k int, f int, t double, x double, y double, yaw double, v double")
+    ways = {(r.f, r.k): (round(r.wx, 9), round(r.wy, 9), r.valid) for r in rows.trajectory(s.withColumnRenamed("k", "scene"), "scene", "f", "t", "x", "y", "yaw", 2, 0.5).collect()}
+    assert ways[(0, 1)] == (1.0, 0.0, True) and ways[(0, 2)] == (2.0, 0.0, True) and ways[(1, 1)] == (0.0, 0.0, False) and ways[(2, 2)] == (0.0, 0.0, False)
+    out = {r.f: r for r in rows.driving_rows(s.withColumnRenamed("k", "scene"), "scene", "f", "t", "x", "y", "yaw", "v", 2, 0.5, F.lit(True), F.lit(False), F.lit(0.0)).collect()}
+    assert [getattr(out[0], b) for b in rows.BEHAVIOURS] == [0, 0, 1, 1, 0, 0, 0, 0] and [getattr(out[2], b) for b in rows.BEHAVIOURS] == [1, 0, 0, 0, 0, 0, 0, 1]
+    assert not out[0].previous_valid and out[1].previous_valid and round(out[1].tx, 9) == -2.0
+    assert rows.driving_rows(s.limit(0).withColumnRenamed("k", "scene"), "scene", "f", "t", "x", "y", "yaw", "v", 2, 0.5, F.lit(True), F.lit(False), F.lit(0.0)).collect() == []
