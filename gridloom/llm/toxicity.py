@@ -19,6 +19,7 @@ empty one; other columns are ignored, and kept by ``keep_clean``.
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import WordIndex, csr_take, filter_texts, map_texts, words_of
 
 SAMPLE = 10_000
+_CHUNK = 1 << 20
 RIDGE, FAIR, ROUNDS, RATE = 1e-4, 5.0, 30, 50.0
 #: Terms of a row stand for groups of one kind; a swap takes the next of the row.
 IDENTITY = (
@@ -99,8 +101,12 @@ class _Matrix:
         self.size = np.array([len(f) for f, _ in rows], np.int64)
         self.full = np.flatnonzero(self.size)
         self.begin = (np.cumsum(self.size) - self.size)[self.full]
-        self.col = np.searchsorted(vocabulary, np.concatenate([np.zeros(0, np.int64), *(f for f, _ in rows)]))
-        self.val = np.concatenate([np.zeros(0), *(v for _, v in rows)])
+        # row by row, so that nothing but the rows and their narrow columns is held
+        self.col, self.val = np.empty(int(self.size.sum()), np.int32), np.empty(int(self.size.sum()))
+        at = 0
+        for f, v in rows:
+            self.col[at : at + len(f)], self.val[at : at + len(f)] = np.searchsorted(vocabulary, f), v
+            at += len(f)
 
     def __matmul__(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n)
@@ -113,7 +119,6 @@ class _Matrix:
         v = self.val * np.repeat(r, self.size)
         return np.bincount(self.col, v * self.val if square else v, self.width)
 
-
     def take(self, columns: np.ndarray, name: np.ndarray) -> None:
         """Keep only these columns, under their new names."""
         here = np.zeros(self.width, bool)
@@ -127,15 +132,16 @@ class _Matrix:
 
 def _alike(parts: list[_Matrix]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names by column, equal for columns of equal rows and values in all parts (by 128 bits); a column and the number of columns of each name."""
-    row = np.concatenate([np.repeat(np.arange(m.n), m.size) + k * (1 << 32) for k, m in enumerate(parts)]).astype(np.uint64)
-    col, val = np.concatenate([m.col for m in parts]), np.concatenate([m.val for m in parts]).view(np.uint64)
-    order = np.argsort(col, kind="stable")
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(col[order]) != 0]))
-    sums = []
-    for a, b in ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)):
-        z = (row + np.uint64(1)) * np.uint64(a) ^ val * np.uint64(b)
-        z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        sums.append(np.add.reduceat((z ^ (z >> np.uint64(29)))[order], begin))
+    sums = np.zeros((2, parts[0].width), np.uint64)
+    for k, m in enumerate(parts):
+        ends = np.cumsum(m.size)
+        for a in range(0, len(m.col), _CHUNK):
+            col, val = m.col[a : a + _CHUNK], m.val[a : a + _CHUNK].view(np.uint64)
+            row = np.searchsorted(ends, np.arange(a, a + len(col)), "right").astype(np.uint64) + np.uint64(k << 32)
+            for total, (p, q) in zip(sums, ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))):
+                z = (row + np.uint64(1)) * np.uint64(p) ^ val * np.uint64(q)
+                z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                np.add.at(total, col, z ^ (z >> np.uint64(29)))
     _, first, alike, many = np.unique(np.stack(sums, axis=1).view("u8,u8").ravel(), return_index=True, return_inverse=True, return_counts=True)
     return alike, first, many
 
@@ -144,7 +150,9 @@ def solve(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, change: list
     """The least loss, by Newton's method with conjugate gradients. ``change``: what swaps take from and add to documents that name a group."""
     if not len(y) or y.min() == y.max():
         return NOTHING
-    features = np.unique(np.concatenate([f for f, _ in rows + change]))
+    features = np.zeros(0, np.int64)
+    for a in range(0, len(rows) + len(change), 500):
+        features = np.union1d(features, np.concatenate([f for f, _ in (rows + change)[a : a + 500]]))
     x, d, n = _Matrix(rows, features), _Matrix(change, features), len(y)
     push = 2 * fair / max(1, len(change))
     # features that are alike in all documents, as rare words and their prefixes are, share one weight: the loss is that of its equal shares
@@ -274,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             lists = [[np.asarray(x.values) if x.is_valid else None for x in b.column(k)] for k in range(4)]
             seen += zip(b.column(5).to_pylist(), b.column(4).to_pylist(), *lists)
-        seen.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+        seen.sort(key=lambda r: (r[0], r[1], zlib.crc32(r[2])))
         intercept, features, weights = solve([(r[2], r[3]) for r in seen], np.array([r[1] for r in seen], float), [(r[4], r[5]) for r in seen if r[4] is not None], fair)
         yield pa.RecordBatch.from_arrays([pa.array([None, *features.tolist()], pa.int64()), pa.array([intercept, *weights.tolist()], pa.float64())], names=["feature", "weight"])
 
