@@ -134,6 +134,19 @@ def csr_take(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarr
     return pool[np.repeat(starts - (ends - lens), lens) + np.arange(total)]
 
 
+def union(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the sets of rows i[k] and j[k], in place; root[x] is the least row of x's set, before and after."""
+    while True:
+        a, b = root[i], root[j]
+        apart = np.flatnonzero(a != b)
+        if not len(apart):
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        root[np.maximum(a, b)] = np.minimum(a, b)
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+
+
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict[int, int] = {}
 

@@ -12,7 +12,9 @@ For the search each distinct fingerprint is sent by segment and the segment's hi
 cell that one of its zero high bits would lead to if it were one. Each pair that differs in a bit there has the zero
 on one side only, so it meets once. Inside a cell the first two links of the chain together are the join key: they
 differ in at most three bits, so an index over the first link and a half of the second finds them. A pair is
-given by the segment at which its first good chain begins, hence once.
+given by the segment at which its first good chain begins, hence once. In dense groups the pairs grow as the square of
+the table, so they are compared in blocks, and ``groups`` only counts them: a cell gives for each of its fingerprints
+the number of its links there and one step toward the rest of its group.
 
 The result has a row for each document: (doc_id, group_id, is_duplicate, n_links); group_id is the least doc_id of the
 group and the document that stays, n_links the number of other fingerprints near the document's own.
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WordIndex, components, csr_take, durable, map_texts, words_of
+from gridloom.llm.common import WordIndex, components, csr_take, durable, map_texts, union, words_of
 
 TAU, SEGMENTS, BITS = 19, 10, 128
 #: First bit of each segment, and of none: eight segments of 13 bits, two of 12.
@@ -43,6 +45,8 @@ _CUTS = [0, 13, 26, 39, 52, 65, 78, 91, 104, 116, 128]
 _CELL_BITS = 8
 #: High bits of the next segment; the rest are its low bits.
 _HIGH = 6
+#: So many rows ask at a time, and about so many pairs are compared at a time; the result is the same.
+_ASKS, _HITS = 1 << 15, 1 << 19
 #: So few pairs of a cell are compared without an index; the result is the same.
 _FEW = 4096
 
@@ -112,15 +116,21 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), pa.array(signed[0][w]), pa.array(signed[1][w])], names=["place", "lo", "hi"])
 
 
-_START, _STEP = np.arange(SEGMENTS)[:, None], np.arange(1, SEGMENTS + 1)[None, :]
+def _first_chain(x: np.ndarray, y: np.ndarray, k: int, tau: int) -> np.ndarray:
+    """Of differences (low, high halves) within ``tau``: whether segment ``k`` is the first at which a chain begins that keeps all its budgets."""
+    each = [np.bitwise_count(_segment(x, y, s)) for s in range(SEGMENTS)]
 
+    def good(begin: int) -> np.ndarray:
+        upto, ok = np.zeros(len(x), np.uint8), np.ones(len(x), bool)
+        for links in range(1, SEGMENTS):
+            upto += each[(begin + links - 1) % SEGMENTS]
+            ok &= upto <= links * tau // SEGMENTS
+        return ok
 
-def _first_chain(x: np.ndarray, y: np.ndarray, tau: int) -> np.ndarray:
-    """Of differences (low, high halves) within ``tau``: the first segment at which a chain begins that keeps all its budgets."""
-    each = np.stack([np.bitwise_count(_segment(x, y, k)) for k in range(SEGMENTS)]).astype(np.int16)
-    upto = np.concatenate([np.zeros((1, len(x)), np.int16), np.cumsum(np.concatenate([each, each]), axis=0, dtype=np.int16)])
-    chain = upto[_START + _STEP] - upto[_START]  # [begin, links, pair]
-    return np.argmax((chain * SEGMENTS <= (_STEP * tau)[..., None]).all(axis=1), axis=0)
+    out = good(k)
+    for begin in range(k):
+        out &= ~good(begin)
+    return out
 
 
 def _table(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +138,7 @@ def _table(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(key, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(key, minlength=size))])
 
 
-def _hits(table: tuple[np.ndarray, np.ndarray], rows: np.ndarray, keys: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _hits(table: tuple[np.ndarray, np.ndarray], rows: np.ndarray, keys: np.ndarray, limit: int = _HITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row of the table, asking row) of equal keys, so many at a time."""
     order, begin = table
     n = begin[keys + 1] - begin[keys]
@@ -168,68 +178,68 @@ class _Cell:
         first, second = _segment(lo, hi, self.k).astype(np.int32), _segment(lo, hi, self.next).astype(np.int32)
         return (first << 13) | second, first & ((1 << self.low) - 1), second >> self.rest, second & ((1 << self.rest) - 1)
 
-    def _flipped(self, lo, hi, two, rows, sub, a, b) -> np.ndarray:
+    def _flipped(self, two, rows, sub, a, b) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (home row, asking row) that differ in one bit of the segment; ``sub`` holds the low bits to look under."""
         flips = np.array([0, *(1 << x for x in range(self.rest))], np.int32)
-        found = [self._near(two, i, j) for i, j in _hits(self.by_a, rows, (sub << _HIGH) | a)]
-        found += [self._near(two, i, j) for i, j in _hits(self.by_b, np.repeat(rows, len(flips)), (((sub << self.rest) | b)[:, None] ^ flips).ravel())]
-        return self._check(lo, hi, found)
-
-    def _near(self, two, i, j) -> np.ndarray:
-        """Those that keep the budget of two links."""
-        good = np.bitwise_count(self.two[i] ^ two[j]) * SEGMENTS <= 2 * self.tau
-        return np.stack([i[good], j[good]])
-
-    def _check(self, lo, hi, found: list[np.ndarray]) -> np.ndarray:
-        """Of the pairs, each once, those within tau whose first good chain begins here."""
-        found = [x for x in found if x.shape[1]]
-        if not found:
-            return np.zeros((2, 0), np.int64)
-        key = np.concatenate([x[0].astype(np.int64) * len(lo) + x[1] for x in found])
-        i, j = np.divmod(key, len(lo))
-        x, y = self.lo[i] ^ lo[j], self.hi[i] ^ hi[j]
-        full = np.flatnonzero(np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y) <= self.tau)
-        if not len(full):
-            return np.zeros((2, 0), np.int64)
-        _, one = np.unique(key[full], return_index=True)
-        full = full[one]
-        parts = [full[a : a + 50_000] for a in range(0, len(full), 50_000)]
-        full = np.concatenate([p[_first_chain(x[p], y[p], self.tau) == self.k] for p in parts])
-        return np.stack([i[full], j[full]])
-
-    def _batch(self, pairs, lo, hi) -> Iterator[pa.RecordBatch]:
-        i, j = pairs
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (self.lo[i], self.hi[i], lo[j], hi[j])], names=["alo", "ahi", "blo", "bhi"])
-
-    def guests(self, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Edges to fingerprints that are here by a flip of the segment's high bits."""
+        for i, j in _hits(self.by_a, rows, (sub << _HIGH) | a):
+            yield self._near(two, i, j)
+        for i, j in _hits(self.by_b, np.repeat(rows, len(flips)), (((sub << self.rest) | b)[:, None] ^ flips).ravel()):
+            yield self._near(two, i, j, 1)
+
+    def _near(self, two, i, j, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Those that keep the budget of two links and differ in at least so many of the next segment's high bits; the others were found by those bits."""
+        x = self.two[i] ^ two[j]
+        good = np.bitwise_count(x) * SEGMENTS <= 2 * self.tau
+        if least:
+            good &= np.bitwise_count((x & 0x1FFF) >> self.rest) >= least
+        return i[good], j[good]
+
+    def _check(self, lo, hi, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of the pairs those within tau whose first good chain begins here."""
+        for i, j in found:
+            for a in range(0, len(i), 1 << 16):
+                p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+                x, y = self.lo[p] ^ lo[q], self.hi[p] ^ hi[q]
+                full = np.flatnonzero(np.bitwise_count(x) + np.bitwise_count(y) <= self.tau)
+                if len(full) and len(full := full[_first_chain(x[full], y[full], self.k, self.tau)]):
+                    yield p[full], q[full]
+
+    def guests(self, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (home row, guest row), each once, with fingerprints that are here by a flip of the segment's high bits."""
         two, sub, a, b = self._bits(lo, hi)
         if len(self.lo) * len(lo) <= _FEW:
-            yield from self._batch(self._check(lo, hi, [self._near(two, np.repeat(np.arange(len(self.lo)), len(lo)), np.tile(np.arange(len(lo)), len(self.lo)))]), lo, hi)
-            return
-        yield from self._batch(self._flipped(lo, hi, two, np.arange(len(lo)), sub, a, b), lo, hi)
-
-    def homes(self) -> Iterator[pa.RecordBatch]:
-        """Edges among the fingerprints at home here."""
-        lo, hi, two = self.lo, self.hi, self.two
-        if len(lo) * len(lo) <= _FEW:
-            if len(lo) > 1:
-                yield from self._batch(self._check(lo, hi, [self._near(two, *np.triu_indices(len(lo), 1))]), lo, hi)
+            yield from self._check(lo, hi, [self._near(two, np.repeat(np.arange(len(self.lo)), len(lo)), np.tile(np.arange(len(lo)), len(self.lo)))])
             return
-        rows, bit = np.nonzero((self.sub[:, None] >> np.arange(self.low)) & 1 == 0)
-        yield from self._batch(self._flipped(lo, hi, two, rows, self.sub[rows] | (1 << bit), self.a[rows], self.b[rows]), lo, hi)
-        found = []
-        for table, part, bits in ((self.by_a, self.a, _HIGH), (self.by_b, self.b, self.rest)):
-            key = (self.sub << bits) | part
-            found += [self._near(two, i[i < j], j[i < j]) for i, j in _hits(table, np.arange(len(key)), key)]
-            rows, bit = np.nonzero((part[:, None] >> np.arange(bits)) & 1 == 0)
-            found += [self._near(two, np.minimum(i, j), np.maximum(i, j)) for i, j in _hits(table, rows, key[rows] | (1 << bit))]
-        yield from self._batch(self._check(lo, hi, found), lo, hi)
-
-
-def _search(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
-    """Edges between fingerprints, from rows in order of their place. Only the fingerprints at home in one cell are held; guests pass by in batches."""
+        for s in range(0, len(lo), _ASKS):
+            w = np.arange(s, min(s + _ASKS, len(lo)))
+            yield from self._check(lo, hi, self._flipped(two, w, sub[w], a[w], b[w]))
+
+    def homes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows at home here, each once."""
+        n = len(self.lo)
+        if n * n <= _FEW:
+            found = [self._near(self.two, *np.triu_indices(n, 1))]
+        else:
+            found = (x for s in range(0, n, _ASKS) for x in self._among(np.arange(s, min(s + _ASKS, n))))
+        yield from self._check(self.lo, self.hi, found)
+
+    def _among(self, w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What the rows ``w`` find among the rows at home."""
+        at, bit = np.nonzero((self.sub[w, None] >> np.arange(self.low)) & 1 == 0)
+        rows = w[at]
+        yield from self._flipped(self.two, rows, self.sub[rows] | (1 << bit).astype(np.int32), self.a[rows], self.b[rows])
+        for table, part, bits, least in ((self.by_a, self.a, _HIGH, 0), (self.by_b, self.b, self.rest, 2)):
+            key = (self.sub[w] << bits) | part[w]
+            for i, j in _hits(table, w, key):
+                once = i < j
+                yield self._near(self.two, i[once], j[once], least)
+            at, bit = np.nonzero((part[w, None] >> np.arange(bits)) & 1 == 0)
+            for i, j in _hits(table, w[at], key[at] | (1 << bit)):
+                yield self._near(self.two, i, j, least)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[tuple[_Cell, tuple[np.ndarray, np.ndarray] | None]]:
+    """From rows in order of their place: each cell, and then with each batch of its guests. Only the fingerprints at home in one cell are held; guests pass by."""
     at, held, cell = -1, [], None
     for batch in batches:
         place, lo, hi = (batch.column(i).to_numpy() for i in range(3))
@@ -243,15 +253,69 @@ def _search(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBa
                 if held:
                     cell = _Cell(at, *(np.concatenate(x) for x in zip(*held)), tau)
                     held = []
-                    yield from cell.homes()
+                    yield cell, None
                 if now != at:
                     at, cell = now, None
             if not guest:
                 held.append((lo[a:b], hi[a:b]))
             elif cell is not None:
-                yield from cell.guests(lo[a:b], hi[a:b])
+                yield cell, (lo[a:b], hi[a:b])
     if held:
-        yield from _Cell(at, *(np.concatenate(x) for x in zip(*held)), tau).homes()
+        yield _Cell(at, *(np.concatenate(x) for x in zip(*held)), tau), None
+
+
+def _search(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of fingerprints, from rows in order of their place."""
+    for cell, guests in _cells(batches, tau):
+        lo, hi = guests or (cell.lo, cell.hi)
+        for i, j in cell.guests(lo, hi) if guests else cell.homes():
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (cell.lo[i], cell.hi[i], lo[j], hi[j])], names=["alo", "ahi", "blo", "bhi"])
+
+
+class _Links:
+    """The numbers of links of a cell's fingerprints, and which of them hang together."""
+
+    def __init__(self, cell: _Cell):
+        self.cell, self.n, self.root = cell, np.zeros(len(cell.lo), np.int64), np.arange(len(cell.lo))
+
+    def homes(self) -> None:
+        for i, j in self.cell.homes():
+            self.n += np.bincount(i, minlength=len(self.n)) + np.bincount(j, minlength=len(self.n))
+            union(self.root, i, j)
+
+    def guests(self, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+        here = len(self.n)
+        n, root = np.zeros(len(lo), np.int64), np.concatenate([self.root, here + np.arange(len(lo))])
+        for i, j in self.cell.guests(lo, hi):
+            self.n += np.bincount(i, minlength=here)
+            n += np.bincount(j, minlength=len(lo))
+            union(root, i, here + j)
+        self.root = root[:here]  # a root is the least of its rows, so none of these is a guest
+        yield from self._rows(lo, hi, n, root[here:])
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        yield from self._rows(self.cell.lo, self.cell.hi, self.n, self.root)
+
+    def _rows(self, lo, hi, n, root) -> Iterator[pa.RecordBatch]:
+        w = np.flatnonzero(n)
+        if len(w):
+            to = root[w]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (lo[w], hi[w], n[w], self.cell.lo[to], self.cell.hi[to])], names=["lo", "hi", "n", "rlo", "rhi"])
+
+
+def _count(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBatch]:
+    """Links of fingerprints by cell, from rows in order of their place; the pairs are counted as they are found and never held."""
+    links = None
+    for cell, guests in _cells(batches, tau):
+        if guests:
+            yield from links.guests(*guests)
+            continue
+        if links:
+            yield from links.rows()
+        links = _Links(cell)
+        links.homes()
+    if links:
+        yield from links.rows()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,8 +337,19 @@ def near_pairs(distinct: DataFrame, tau: int = TAU) -> DataFrame:
     """(alo, ahi, blo, bhi) of the pairs of distinct fingerprints (lo, hi) within ``tau`` bits, each pair once."""
     if tau >= 2 * SEGMENTS:
         raise ValueError(f"tau must be below {2 * SEGMENTS}")
+    return _spread_out(distinct).mapInArrow(lambda b: _search(b, tau), "alo long, ahi long, blo long, bhi long")
+
+
+def near_links(distinct: DataFrame, tau: int = TAU) -> DataFrame:
+    """Of the same pairs (lo, hi, n, rlo, rhi), not a row each: the n of a fingerprint add up to its number of pairs, and what hangs together by the pairs does by the steps from a row's fingerprint to (rlo, rhi)."""
+    if tau >= 2 * SEGMENTS:
+        raise ValueError(f"tau must be below {2 * SEGMENTS}")
+    return _spread_out(distinct).mapInArrow(lambda b: _count(b, tau), "lo long, hi long, n long, rlo long, rhi long")
+
+
+def _spread_out(distinct: DataFrame) -> DataFrame:
     spread = distinct.select("lo", "hi").mapInArrow(_spread, "place int, lo long, hi long")
-    return spread.repartition(F.shiftright("place", 1)).sortWithinPartitions("place").mapInArrow(lambda b: _search(b, tau), "alo long, ahi long, blo long, bhi long")
+    return spread.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
@@ -282,11 +357,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau:
     prints = durable(fingerprints(docs, id_col, text_col))
     heads = durable(prints.where("doc_id is not null and lo is not null").groupBy("lo", "hi").agg(F.min("doc_id").alias("head")))
     # an id that has two fingerprints may head both; the components join them only if they are near
-    found = durable(near_pairs(heads, tau))
-    one = heads.select(F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("head").alias("a"))
-    two = heads.select(F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("head").alias("b"))
-    roots = components(found.join(one, ["alo", "ahi"]).join(two, ["blo", "bhi"]).select("a", "b"))
-    links = found.select(F.explode(F.array(F.struct(F.col("alo").alias("lo"), F.col("ahi").alias("hi")), F.struct(F.col("blo").alias("lo"), F.col("bhi").alias("hi")))).alias("x")).groupBy("x.lo", "x.hi").agg(F.count("*").alias("n"))
+    found = durable(near_links(heads, tau))
+    one = heads.select("lo", "hi", F.col("head").alias("a"))
+    two = heads.select(F.col("lo").alias("rlo"), F.col("hi").alias("rhi"), F.col("head").alias("b"))
+    steps = found.where("lo != rlo or hi != rhi").select("lo", "hi", "rlo", "rhi").distinct()
+    roots = components(steps.join(one, ["lo", "hi"]).join(two, ["rlo", "rhi"]).select("a", "b"))
+    links = found.groupBy("lo", "hi").agg(F.sum("n").alias("n"))
     named = heads.join(links, ["lo", "hi"], "left").join(roots, heads["head"] == roots["node"], "left").select("lo", "hi", F.coalesce("root", "head").alias("group_id"), F.coalesce("n", F.lit(0)).alias("n"))
     rows = prints.where("doc_id is not null and lo is not null").join(named, ["lo", "hi"])
     least = rows.groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.max("n").alias("n_links"))

@@ -6,9 +6,11 @@ import os
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,43 @@ def test_simhash_is_exact(spark):
     assert {r.doc_id for r in simhash.keep_first(d).collect()} == set(groups.values())
 
 
+def _near_one(n, flips, seed=1):
+    """Distinct fingerprints (lo, hi) that differ from one in at most ``flips`` bits."""
+    rng = np.random.default_rng(seed)
+    bits = np.repeat(rng.integers(0, 2, (1, 128), np.uint8), n, axis=0)
+    for row in bits:
+        row[rng.choice(128, rng.integers(0, flips + 1), replace=False)] ^= 1
+    return np.unique(np.packbits(bits, axis=1, bitorder="little").view(np.int64), axis=0)
+
+
+def test_simhash_holds_no_square_of_a_dense_group():
+    u = _near_one(2000, 9)
+    rows = pa.RecordBatch.from_arrays([pa.array(u[:, k].copy()) for k in (0, 1)], names=["lo", "hi"])
+    batches = pa.Table.from_batches(simhash._spread(iter([rows]))).sort_by("place").combine_chunks().to_batches(10_000)
+    tracemalloc.start()
+    pairs = sum(b.num_rows for b in simhash._search(iter(batches), simhash.TAU))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == len(u) * (len(u) - 1) // 2 and peak < 60e6
+
+
+def test_simhash_counts_links_without_their_pairs(spark):
+    u = np.concatenate([_near_one(400, 12, seed) for seed in (1, 2, 3)])
+    near = np.bitwise_count(u[:, None].view(np.uint64) ^ u[None].view(np.uint64)).sum(axis=2) <= simhash.TAU
+    links = near.sum(axis=1) - 1
+    rows = simhash.near_links(spark.createDataFrame(u.tolist(), "lo long, hi long")).collect()
+    got, at = Counter(), {tuple(x): k for k, x in enumerate(u.tolist())}
+    root = np.arange(len(u))
+    for r in rows:
+        got[at[r.lo, r.hi]] += r.n
+        common.union(root, np.array([at[r.lo, r.hi]]), np.array([at[r.rlo, r.rhi]]))
+    assert [got[k] for k in range(len(u))] == links.tolist()
+    want = np.arange(len(u))
+    common.union(want, *np.nonzero(near))
+    assert root.tolist() == want.tolist()
+    assert len(rows) < links.sum() / 4
+
+
 def test_components_both_ways(spark):
     rng = random.Random(2)
     edges = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)], "a long, b long")
