@@ -109,6 +109,16 @@ def test_simhash_counts_links_without_their_pairs(spark):
     assert len(rows) < links.sum() / 4
 
 
+def test_simhash_groups_write_no_row_a_pair(spark, monkeypatch):
+    base = words(300, 1, 5000)
+    d = docs(spark, [(i, " ".join([*base, *(f"new{i}x{e}" for e in range(4))])) for i in range(400)])
+    sizes, durable = [], simhash.durable
+    monkeypatch.setattr(simhash, "durable", lambda df: sizes.append((x := durable(df)).count()) or x)
+    rows = simhash.groups(d).collect()
+    assert {r.group_id for r in rows} == {0} and sum(r.n_links for r in rows) > 100_000
+    assert max(sizes) < 10_000
+
+
 def test_components_both_ways(spark):
     rng = random.Random(2)
     edges = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)], "a long, b long")
