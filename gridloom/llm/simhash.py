@@ -47,6 +47,8 @@ _CELL_BITS = 8
 _HIGH = 6
 #: So many rows ask at a time, and about so many pairs are compared at a time; the result is the same.
 _ASKS, _HITS = 1 << 15, 1 << 19
+#: About so many fingerprints are sent to their cells by a task.
+_SPREAD = 20_000
 #: So few pairs of a cell are compared without an index; the result is the same.
 _FEW = 4096
 
@@ -348,7 +350,9 @@ def near_links(distinct: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def _spread_out(distinct: DataFrame) -> DataFrame:
-    spread = distinct.select("lo", "hi").mapInArrow(_spread, "place int, lo long, hi long")
+    # a fingerprint becomes some 50 rows, and a file of millions of them would be one task's
+    parts = max(1, -(-distinct.count() // _SPREAD))
+    spread = distinct.select("lo", "hi").repartition(parts, "lo", "hi").mapInArrow(_spread, "place int, lo long, hi long")
     return spread.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
 
 

@@ -119,6 +119,24 @@ def test_simhash_groups_write_no_row_a_pair(spark, monkeypatch):
     assert max(sizes) < 10_000
 
 
+def test_simhash_sends_fingerprints_of_one_part_by_many_tasks(spark, monkeypatch):
+    def numbered(batches):
+        from pyspark import TaskContext
+
+        for batch in batches:
+            place = pa.array([TaskContext.get().partitionId()] * batch.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([place, batch.column(0), batch.column(1)], names=["place", "lo", "hi"])
+
+    u = _near_one(3000, 19)
+    d = spark.createDataFrame(u.tolist(), "lo long, hi long").coalesce(1)
+    want = {tuple(x) for x in u.tolist()}
+    monkeypatch.setattr(simhash, "_SPREAD", 500, raising=False)
+    monkeypatch.setattr(simhash, "_spread", numbered)
+    rows = simhash._spread_out(d).collect()
+    assert {(r.lo, r.hi) for r in rows} == want and len(rows) == len(want)
+    assert max(Counter(r.place for r in rows).values()) < 1000
+
+
 def test_components_both_ways(spark):
     rng = random.Random(2)
     edges = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)], "a long, b long")
