@@ -20,19 +20,17 @@ text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import slices
+from gridloom.llm.common import csr_take, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARD_IDS, MIN_COUNT, SHARE = 1 << 21, 8, 0.25
-_SLOTS, _LIVE_SLOTS = 18, 22
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_NONE = np.int32(2**31 - 1)
 SCHEMA = "shard long, doc_ids array<long>, n_tokens array<int>, doc_ends array<int>, base int, width int, rules binary, lengths binary, symbols binary"
 
 
@@ -63,15 +61,67 @@ def _choose(at: np.ndarray, after: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.flatnonzero(((k - low_left) | (low_right - k)) & 1 == 0)
 
 
-def _slots(pair: np.ndarray, bits: int) -> np.ndarray:
-    return ((pair * _MULT) >> np.uint64(64 - bits)).astype(np.int32)
+class _Places:
+    """The places of each frequent pair, by the pair's number; a pair's places stand in the pool in a row, also those that have lost it."""
+
+    def __init__(self, seq: np.ndarray, after: np.ndarray, min_count: int):
+        self.seq, self.after, self.n, self.min_count = seq, after, len(seq), min_count
+        self.of = np.full(self.n + 1, -1, np.int32)  # number of the pair that begins at a place; -1 for none and for rare ones
+        self.pool, self.used = np.empty(3 * self.n + 1, np.int32), 0  # a replacement brings two places at most and takes a symbol
+        self.keys, self.count, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def enter(self, at: np.ndarray, ids: int) -> None:
+        """Number the frequent ones of the pairs at the places ``at``; none of them may occur elsewhere. Ids are below ``ids``."""
+        at = at[self.after[at] < self.n]
+        if len(at) < self.min_count:
+            return
+        wide, bits = (ids - 1).bit_length(), self.n.bit_length()
+        left, right = self.seq[at].astype(np.uint64), self.seq[self.after[at]]
+        if 2 * wide + bits <= 64:
+            left <<= np.uint64(wide)
+            left |= right.astype(np.uint64)
+            left <<= np.uint64(bits)
+            left |= at.astype(np.uint64)
+            left.sort()
+            at = (left & np.uint64((1 << bits) - 1)).astype(np.int32)
+            left >>= np.uint64(bits)
+        else:
+            left = (left << np.uint64(32)) | right.astype(np.uint64)
+            order = np.argsort(left, kind="stable")
+            at, left = at[order], left[order]
+        first = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
+        size = np.diff(np.append(first, len(left)))
+        frequent = size >= self.min_count
+        at, first, size = at[np.repeat(frequent, size)], first[frequent], size[frequent]
+        if not len(size):
+            return
+        begin = np.cumsum(size) - size
+        heads = at[begin]
+        self.of[at] = np.repeat(np.arange(len(self.size), len(self.size) + len(size), dtype=np.int32), size)
+        self.pool[self.used : self.used + len(at)] = at
+        self.keys = np.concatenate([self.keys, (self.seq[heads].astype(np.uint64) << np.uint64(32)) | self.seq[self.after[heads]].astype(np.uint64)])
+        self.count, self.first, self.size = np.concatenate([self.count, size]), np.concatenate([self.first, self.used + begin]), np.concatenate([self.size, size])
+        self.used += len(at)
+
+    def leave(self, at: np.ndarray) -> None:
+        """The distinct places ``at`` lose their pairs."""
+        lost = self.of[at]
+        self.count -= np.bincount(lost[lost >= 0], minlength=len(self.count))
+        self.of[at] = -1
+
+    def places(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the pairs ``pick``, in order, which of ``pick`` each begins)."""
+        at, rank = csr_take(self.pool, self.first[pick], self.size[pick]), np.repeat(np.arange(len(pick)), self.size[pick])
+        now = self.of[at] == pick[rank]
+        both = np.sort((at[now].astype(np.int64) << 32) | rank[now])
+        return (both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32)
 
 
 def compress(seq: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_COUNT, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, document ends, rules [n, 2], expansion lengths) of ids below ``base``.
 
-    A replacement makes new pairs only beside its nonterminal and no old pair more frequent. So a round counts no places
-    but those whose pair was frequent in the last one and those beside what it replaced, and yet counts all frequent pairs.
+    A replacement makes new pairs only beside its nonterminal, which no earlier pair holds, and no old pair more frequent.
+    So counts are kept, and a round visits no places but those of the pairs it replaces and those beside them.
     """
     seq, ends, n = seq.astype(np.int32), ends.astype(np.int64), len(seq)
     rules: list[np.ndarray] = []
@@ -80,36 +130,18 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # neighbours; n is none
     starts = np.append(0, ends[ends < n])
     before[starts], after[ends[ends > 0] - 1] = n, n
-    keep, live = np.ones(n, bool), np.ones(n + 1, bool)
+    keep = np.ones(n, bool)
+    pairs = _Places(seq, after, min_count)
+    pairs.enter(np.arange(n, dtype=np.int32), max(base, int(seq.max(initial=0)) + 1))
     while True:
-        live[n] = False
-        at = np.flatnonzero(live)
-        at = at[after[at] < n]
-        pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[after[at]].astype(np.uint64)
-        s = np.sort(pair)
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(s)))
-        if not len(count) or count.max() < min_count:
+        most = int(pairs.count.max(initial=0))
+        if most < min_count:
             break
-        frequent = np.zeros(1 << _LIVE_SLOTS, bool)
-        frequent[_slots(s[first[count >= min_count]], _LIVE_SLOTS)] = True  # a rare pair that shares a slot is merely counted again
-        stays = frequent[_slots(pair, _LIVE_SLOTS)]
-        live[at[~stays]] = False
-        at, pair = at[stays], pair[stays]
-        floor = max(min_count, share * min(floor, count.max()))
-        pick = np.flatnonzero(count >= floor)
-        pick = pick[np.lexsort((s[first[pick]], -count[pick]))]
-        keys = s[first[pick]]
-        slot = _slots(keys, _SLOTS)
-        _, one = np.unique(slot, return_index=True)  # of pairs that share a slot the more frequent one; the others wait
-        one.sort()
-        keys, slot = keys[one], slot[one]
-        table = np.zeros(1 << _SLOTS, np.uint64)
-        ranks = np.full(1 << _SLOTS, _NONE)
-        table[slot], ranks[slot] = keys, np.arange(len(keys), dtype=np.int32)
-        mine = _slots(pair, _SLOTS)
-        hit = np.flatnonzero((table[mine] == pair) & (ranks[mine] != _NONE))
-        put, rank = at[hit], ranks[mine[hit]]
+        floor = max(min_count, share * min(floor, most))
+        pick = np.flatnonzero(pairs.count >= floor)
+        pick = pick[np.lexsort((pairs.keys[pick], -pairs.count[pick]))]
+        keys = pairs.keys[pick]
+        put, rank = pairs.places(pick)
         chosen = _choose(put, after[put], rank)
         put, rank = put[chosen], rank[chosen]
         uses = np.bincount(rank, minlength=len(keys))
@@ -126,12 +158,15 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_
         rules.append(fresh)
         lengths = np.concatenate([lengths, size[0] + size[1]])
         made += len(fresh)
-        gone = after[put]
+        gone, left = after[put], before[put]
+        pairs.leave(np.concatenate([put, gone, left[1:][left[1:] != gone[:-1]], left[:1]]))
         seq[put] = name[rank]
-        keep[gone] = live[gone] = False
+        keep[gone] = False
         after[put] = after[gone]
         before[after[put]] = put
-        live[put] = live[before[put]] = True
+        left = before[put]
+        left = np.concatenate([left[1:][left[1:] != put[:-1]], left[:1]])
+        pairs.enter(np.concatenate([put, left[left < n]]), base + made)
     ends = np.concatenate([[0], np.cumsum(keep)])[ends]
     return seq[keep], ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.int32), lengths
 
@@ -181,7 +216,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 coded = [None if t is None else codec.encode_ordinary(t) for t in texts[a:b]]
                 ids += keys[a:b]
                 counts += [None if c is None else len(c) for c in coded]
-                flats.append(np.fromiter((x for c in coded if c for x in c), np.int32))
+                flats.append(np.fromiter(chain.from_iterable(c for c in coded if c), np.int32))
                 held += len(flats[-1])
                 if held >= shard_ids:
                     yield _shard((part << 32) + k, ids, counts, flats, base)

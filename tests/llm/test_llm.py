@@ -495,6 +495,47 @@ def test_repair_takes_the_more_frequent_pair_then_the_left_one():
         assert at[repair._choose(at, at + 1, rank)].tolist() == sorted(want)
 
 
+def _plain_rounds(seq, ends, base):
+    """(documents, rules) by rounds that count all pairs anew, with no table of slots."""
+    parts, rules, floor = [seq[a:b].tolist() for a, b in zip([0, *ends], ends)], [], math.inf
+    while True:
+        count = Counter(p for d in parts for p in zip(d, d[1:]))
+        if max(count.values(), default=0) < repair.MIN_COUNT:
+            return parts, rules
+        floor = max(repair.MIN_COUNT, repair.SHARE * min(floor, max(count.values())))
+        rank = {p: k for k, p in enumerate(sorted((p for p in count if count[p] >= floor), key=lambda p: (-count[p], p)))}
+        taken, uses = set(), Counter()
+        for k, d, i in sorted((rank[p], d, i) for d, x in enumerate(parts) for i, p in enumerate(zip(x, x[1:])) if p in rank):
+            if not {(d, i - 1), (d, i + 1)} & taken:
+                taken.add((d, i))
+                uses[k] += 1
+        good = [p for p, k in rank.items() if uses[k] >= 3]
+        if not good:
+            if floor == repair.MIN_COUNT:
+                return parts, rules
+            continue
+        name = {p: base + len(rules) + k for k, p in enumerate(good)}
+        rules += good
+        for d, x in enumerate(parts):
+            out, i = [], 0
+            while i < len(x):
+                new = (d, i) in taken and name.get((x[i], x[i + 1]))
+                out.append(new or x[i])
+                i += 2 if new else 1
+            parts[d] = out
+
+
+def test_repair_rounds_are_the_plain_ones_and_no_pair_waits():
+    """Also with thousands of pairs in a round, of which several shared a slot and waited for a later one."""
+    rng = np.random.default_rng(3)
+    passages = [rng.permutation(3000) + 3000 * k for k in range(2)]
+    many = np.concatenate([passages[k % 2][: 3000 - k] for k in range(20)])
+    for seq, ends in ((many, np.array([5000, 5000, len(many)])), (rng.integers(0, 40, 6000), np.array([100, 6000])), (rng.integers(0, 2, 3000), np.array([3000]))):
+        s, e, rules, _ = repair.compress(seq, ends, 10_000)
+        parts, want = _plain_rounds(seq, ends, 10_000)
+        assert [s[a:b].tolist() for a, b in zip([0, *e], e)] == parts and [tuple(r) for r in rules.tolist()] == want
+
+
 def test_sentencepiece_best_segmentation(spark):
     pieces = sptok.Pieces.load()
     score = {}
