@@ -39,3 +39,9 @@ def test_equal_pixels_meet_a_box_once(spark):
     pixels = spark.range(5000).select(F.lit(0).alias("frame"), F.lit(100.0).alias("u"), F.lit(100.0).alias("v"), (F.lit(5.0) + F.col("id") % 2 * 20).alias("depth"))
     got, most = run(visibility.seen_by_depth(boxes_of(spark, 40), pixels, 100.0, 100.0, 100.0, 100.0, 60.0, 2, 8.0))
     assert {(r.pixels, r.visible) for r in got} == {(2500, True)} and len(got) == 40 and most <= 5000
+
+
+def test_equal_points_meet_a_box_once(spark):
+    points = spark.range(5000).select(F.lit(0).alias("frame"), F.lit(5.0).alias("x"), F.lit(0.0).alias("y"), (F.col("id") % 2 * 9.0).alias("z"), F.lit(None).cast("long").alias("hit"))
+    got, most = run(visibility.seen_by_points(boxes_of(spark, 40), points, 4.0))
+    assert [r.visible for r in got] == [True] * 40 and most <= 5000
