@@ -62,3 +62,15 @@ def test_of_equal_frames_the_first_row_of_the_table_counts(spark, tmp_path):
     want = c.execute(catalogue.SQL["actor_catalogue"]).df().set_index("actor").sort_index()
     got = catalogue.QUERIES["actor_catalogue"](spark, str(tmp_path)).toPandas().set_index("actor").sort_index()
     assert got[want.columns].astype(str).equals(want.astype(str))
+
+
+def test_no_frame_is_read_anew_for_each_row(spark):
+    """A window to the end of its partition is quadratic in it."""
+    a = spark.createDataFrame([(1, 0, 5.0), (2, 0, 9.0), (3, 0, 12.0), (4, 1, 5.0)], "e int, k int, s double")
+    b = spark.createDataFrame([(7, 0, 9.0), (8, 0, 11.0), (6, 0, 11.0)], "c int, k int, s double")
+    out = visibility.first_control(a, b, "e", "k", "s", "s", "c")
+    assert {(r.e, r.c, r.route_distance, r.valid) for r in out.collect()} == {(1, 7, 4.0, True), (2, 6, 2.0, True), (3, None, None, False), (4, None, None, False)}
+    near = joins.asof_nearest(a, b.withColumnRenamed("c", "rid"), "k", "s", "rid")
+    lerp = joins.asof_lerp(b, a.withColumnRenamed("s", "at"), "k", "s", "at", "s", "c")
+    for df in (out, near, lerp):
+        assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
