@@ -206,14 +206,8 @@ WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey % 25 AS frame,
 SELECT l_orderkey, l_linenumber, l_suppkey, pos, box, 'id' AS stage FROM f WHERE box IS NOT NULL UNION ALL SELECT l_orderkey, l_linenumber, l_suppkey, pos, box, 'box' FROM s WHERE rn = 1""")
 def fusion_primary_fallback(spark, sf_dir):
     points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_extendedprice") / 10).alias("pos"), (F.col("l_partkey") % 25).alias("frame"), (F.col("l_linenumber") % 3).alias("kind"))
-    offset = (F.col("p.pos") - F.col("b.s_acctbal")) / 525
-    # a box reaches 525 both ways, so of the cells of that width it lies in three
-    cell = lambda c: F.floor(F.col(c) / 525)
-    boxes = table(spark, sf_dir, "supplier").withColumn("cell", F.explode(F.sequence(cell("s_acctbal") - 1, cell("s_acctbal") + 1)))
-    return joins.primary_fallback(
-        points.withColumn("cell", cell("pos")), boxes, ["l_orderkey", "l_linenumber", "l_suppkey", "pos"], F.col("p.l_suppkey") == F.col("b.s_suppkey"), F.col("b.s_nationkey") % 3 == F.col("p.kind"),
-        (F.col("p.frame") == F.col("b.s_nationkey")) & (F.col("p.cell") == F.col("b.cell")), F.when(F.abs(F.col("p.pos") - F.col("b.s_acctbal")) <= 525, offset * offset), "s_suppkey",
-    )
+    boxes = table(spark, sf_dir, "supplier").withColumn("s_kind", F.col("s_nationkey") % 3)
+    return joins.primary_nearest(points, boxes, ["l_orderkey", "l_linenumber", "l_suppkey", "pos"], ("l_suppkey", "s_suppkey"), ("kind", "s_kind"), ("frame", "s_nationkey"), ("pos", "s_acctbal"), 525, "s_suppkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s_nationkey = l_partkey % 25 AND s_suppkey = l_suppkey)")

@@ -107,3 +107,14 @@ def test_nearest_in_a_crowd_pairs_nothing(spark):
     got, most = run(joins.nearest_within(a, b, "l", "r", ("k", "k"), ("x", "x"), 10.0))
     assert {(r.l, r.nearest) for r in got} == {(i, min((abs(x - c), j) for j, _, c in right)[1]) for i, _, x in left}
     assert most <= 2500
+
+
+def test_fallback_in_a_crowded_frame_pairs_nothing(spark):
+    """The same rows as by all pairs of a frame."""
+    rng = random.Random(10)
+    points = spark.createDataFrame([(i, rng.randrange(300), rng.randrange(2), rng.randrange(2), rng.randrange(4000) / 100) for i in range(400)] * 2, "p int, key int, kind int, frame int, pos double")
+    boxes = spark.createDataFrame([(i, rng.randrange(2), rng.randrange(2), rng.randrange(3000) / 100) for i in range(200)], "b int, kind int, frame int, at double")
+    off = (F.col("p.pos") - F.col("b.at")) / 5
+    want = joins.primary_fallback(points, boxes, ["p"], F.col("p.key") == F.col("b.b"), F.col("p.kind") == F.col("b.kind"), F.col("p.frame") == F.col("b.frame"), F.when(F.abs(F.col("p.pos") - F.col("b.at")) <= 5, off * off), "b")
+    got, most = run(joins.primary_nearest(points, boxes, ["p"], ("key", "b"), ("kind", "kind"), ("frame", "frame"), ("pos", "at"), 5, "b"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) and {r.stage for r in got} == {"id", "box"} and most <= 1600
