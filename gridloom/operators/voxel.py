@@ -57,8 +57,10 @@ def band(surface: DataFrame, keys: list[str], reach: int, most: int | None = Non
 def nearest_in_reach(queries: DataFrame, points: DataFrame, keys: list[str], position: dict[str, tuple[str, str]], reach: int, radius: float, value: str) -> DataFrame:
     """For each query cell the value and distance of the nearest point in cells within ``reach``; null beyond the radius.
 
-    ``position`` maps an axis to the columns of the query and the point. Equal distances go to the first offset.
+    ``position`` maps an axis to the columns of the query and the point. Equal distances go to the first offset, then to the least value.
     """
+    # points of one place are as near; only the least value counts
+    points = points.groupBy(*keys, *(b for _, b in position.values())).agg(F.min(value).alias(value))
     asked = neighbours(queries.withColumns({f"_q{k}": F.col(k) for k in keys}), keys, reach)
     d = F.sqrt(sum(((F.col(f"q.{a}") - F.col(f"p.{b}")) ** 2 for a, b in position.values()), F.lit(0.0)))
     found = asked.alias("q").join(points.alias("p"), [F.col(f"q.{k}") == F.col(f"p.{k}") for k in keys], "left")

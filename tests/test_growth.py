@@ -133,3 +133,10 @@ def test_objects_of_one_size_meet_once(spark):
     # of each size the donor of the highest coverage, then the least number
     want = {i: min((-(j % 7), j) for j in range(0, 1000, 2) if j % 5 == i % 5)[1] for i in range(1, 1000, 2)}
     assert {r.id: r.donor for r in got} == want and most <= 1000
+
+
+def test_equal_points_of_a_cell_count_once(spark):
+    points = spark.range(4000).select(F.lit(0).alias("cx"), F.lit(0).alias("cy"), F.lit(1.0).alias("x"), (F.col("id") % 2 * 1.0).alias("y"), F.col("id").alias("v"))
+    asked = spark.range(9).select((F.col("id") % 3 - 1).cast("int").alias("cx"), F.floor(F.col("id") / 3 - 1).cast("int").alias("cy"), F.lit(1.0).alias("qx"), F.lit(0.0).alias("qy"))
+    got, most = run(voxel.nearest_in_reach(asked, points, ["cx", "cy"], {"x": ("qx", "x"), "y": ("qy", "y")}, 1, 6.0, "v"))
+    assert [(r.v, r.distance) for r in got] == [(0, 0.0)] * 9 and most <= 4000
