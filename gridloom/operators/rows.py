@@ -53,10 +53,13 @@ def with_previous(frames: DataFrame, w: WindowSpec, pose: tuple[str, str, str],
     return rows.withColumns(m).drop(*(f"_p{c}" for c in pose))
 
 
-def driving_rows(states: DataFrame, key: str, frame: str, t: str, x: str, y: str, yaw: str, speed: str, count: int, dt: float, front: Column, red: Column, distance: Column) -> DataFrame:
-    """One supervised row a frame: the previous frame's transform, waypoints as an array, labels, and the red stop that still can be made."""
+def driving_rows(states: DataFrame, key: str, frame: str, t: str, x: str, y: str, yaw: str, speed: str, count: int, dt: float, front: Column, red: Column, distance: Column, unit: float = 1.0) -> DataFrame:
+    """One supervised row a frame: the previous frame's transform, waypoints as an array, labels, and the red stop that still can be made.
+
+    Accelerations count by ``unit`` of the time; times stay as they are, since scaled ones round otherwise.
+    """
     w = Window.partitionBy(key).orderBy(t, frame)
-    base = with_previous(states, w, (x, y, yaw)).withColumns({"_a": series.acceleration(C(speed), C(t), w), "_front": front, "red_stop_valid": S.red_stop(red, F.lit(True), C(speed), distance)})
+    base = with_previous(states, w, (x, y, yaw)).withColumns({"_a": series.acceleration(C(speed), C(t), w) * unit, "_front": front, "red_stop_valid": S.red_stop(red, F.lit(True), C(speed), distance)})
     ways = trajectory(states, key, frame, t, x, y, yaw, count, dt)
     each = ways.groupBy(key, frame).agg(F.array_sort(F.collect_list(F.struct("k", "wx", "wy", "valid"))).alias("trajectory"))
     last = F.element_at(F.filter("trajectory", lambda p: p["valid"]), -1)

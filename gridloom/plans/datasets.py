@@ -43,9 +43,9 @@ _LABELS = """CAST(stands AND front AS INTEGER) AS obstacle_stop, CAST(red AS INT
 SELECT event_id, previous_valid, round(cos(radians(ow - yaw)), 5) + 0 AS m11, round(-sin(radians(ow - yaw)), 5) + 0 AS m12, round(cos(radians(yaw)) * (ox - x) + sin(radians(yaw)) * (oy - y), 5) + 0 AS tx, round(cos(radians(yaw)) * (oy - y) - sin(radians(yaw)) * (ox - x), 5) + 0 AS ty,
   round(list_sum(xs), 5) + 0 AS way_sum, n_valid, red AS red_stop_valid, {_LABELS} FROM j""")
 def driving_rows(spark, sf_dir):
-    # events are hours apart, so time counts in steps of 10,000 seconds
+    # events are hours apart, so accelerations count by 10,000 seconds
     k = C("event_id")
-    out = rows.driving_rows(_states(spark, sf_dir).withColumn("t", C("t") / 10000), "user_id", "event_id", "t", "x", "y", "yaw", "speed", 4, 2.16, k % 7 == 0, C("event_type") == "error", (k % 30).cast("double"))
+    out = rows.driving_rows(_states(spark, sf_dir), "user_id", "event_id", "t", "x", "y", "yaw", "speed", 4, 21600.0, k % 7 == 0, C("event_type") == "error", (k % 30).cast("double"), 10000.0)
     total = F.aggregate("trajectory", F.lit(0.0), lambda a, p: a + F.round(p["wx"], 5))
     return out.select("event_id", "previous_valid", *(_r(C(c)).alias(c) for c in ("m11", "m12", "tx", "ty")), _r(total).alias("way_sum"), F.size(F.filter("trajectory", lambda p: p["valid"])).cast("long").alias("n_valid"), "red_stop_valid", *rows.BEHAVIOURS)
 

@@ -140,3 +140,12 @@ def test_equal_points_of_a_cell_count_once(spark):
     asked = spark.range(9).select((F.col("id") % 3 - 1).cast("int").alias("cx"), F.floor(F.col("id") / 3 - 1).cast("int").alias("cy"), F.lit(1.0).alias("qx"), F.lit(0.0).alias("qy"))
     got, most = run(voxel.nearest_in_reach(asked, points, ["cx", "cy"], {"x": ("qx", "x"), "y": ("qy", "y")}, 1, 6.0, "v"))
     assert [(r.v, r.distance) for r in got] == [(0, 0.0)] * 9 and most <= 4000
+
+
+def test_driving_rows_keep_the_times(spark):
+    """Waypoints are those of the times as they are, to the last bit; accelerations count by the unit."""
+    states = [(i, 0, 1704067211.172425 + 3571.123456 * i + i % 3, i * 1.37, i % 5 * 1.0, i * 7.0, i * 0.2) for i in range(40)]
+    df = spark.createDataFrame(states, "f int, u int, t double, x double, y double, yaw double, v double")
+    out = rows.driving_rows(df, "u", "f", "t", "x", "y", "yaw", "v", 4, 21600.0, F.lit(False), F.lit(False), F.lit(9.0), 10000.0).collect()
+    want = {(r.f, r.k1): r.wx for r in rows.trajectory(df, "u", "f", "t", "x", "y", "yaw", 4, 21600.0).toDF("u", "f", "k1", "wx", "wy", "ok").collect()}
+    assert {(r.f, p.k): p.wx for r in out for p in r.trajectory} == want and {r.accelerate for r in out} == {1}
