@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -138,14 +140,20 @@ def stop_crossing(dx: Column, dy: Column, direction_x: Column, direction_y: Colu
 
 
 def bilinear(points: DataFrame, cells: DataFrame, key: list[str], row: Column, col: Column, rows: int, cols: int, value: str) -> DataFrame:
-    """``points`` with ``sampled``: the grid's value at a fractional place between cell centres, held at the border. An equi join on four cells."""
+    """``points`` with ``sampled``: the grid's value at a fractional place between cell centres, held at the border.
+
+    A point meets its key's grid once, as an array, and takes four of its cells; no point is made four and added up again.
+    A cell that isn't there counts nothing, and points of which no cell is there go.
+    """
     r, c = F.least(F.greatest(row - 0.5, F.lit(0.0)), F.lit(rows - 1.0)), F.least(F.greatest(col - 0.5, F.lit(0.0)), F.lit(cols - 1.0))
-    step = F.array(F.lit(0), F.lit(1))
-    at = points.withColumns({"_r": r, "_c": c}).withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step))
-    share = lambda v, k: F.when(k == 1, v - F.floor(v)).otherwise(1 - (v - F.floor(v)))
-    at = at.withColumns({"row": F.least(F.floor("_r") + C("_i"), F.lit(rows - 1)), "col": F.least(F.floor("_c") + C("_j"), F.lit(cols - 1)), "_w": share(C("_r"), C("_i")) * share(C("_c"), C("_j"))})
-    keys = points.columns
-    return at.join(cells.select(*key, "row", "col", C(value).alias("_v")), [*key, "row", "col"]).groupBy(*keys).agg(F.sum(C("_w") * C("_v")).alias("sampled"))
+    each = cells.where(C("row").between(0, rows - 1) & C("col").between(0, cols - 1)).groupBy(*key, (C("row") * cols + C("col")).cast("int").alias("_p")).agg(F.sum(value).alias("_v"))
+    grids = each.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_p", "_v"))).alias("_m")).select(*key, F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda p: F.try_element_at("_m", p)).alias("_g"))
+    at = points.withColumns({"_r": r, "_c": c}).join(grids, key)
+    share = lambda v, k: v - F.floor(v) if k else 1 - (v - F.floor(v))
+    place = lambda i, j: (F.least(F.floor("_r") + i, F.lit(rows - 1)) * cols + F.least(F.floor("_c") + j, F.lit(cols - 1))).cast("int")
+    parts = [share(C("_r"), i) * share(C("_c"), j) * F.get("_g", place(i, j)) for i in (0, 1) for j in (0, 1)]
+    total = reduce(add, (F.coalesce(p, F.lit(0.0)) for p in parts))
+    return at.select(*points.columns, F.when(F.coalesce(*parts).isNotNull(), total).alias("sampled")).where("sampled is not null")
 
 
 def candidate_scores(candidates: DataFrame, key: str, mode: str, score: Column) -> DataFrame:

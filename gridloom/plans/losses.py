@@ -130,10 +130,8 @@ SELECT k, n, round(sum(s * v), 6) AS distance FROM s JOIN f USING (g, r, c) GROU
 def centreline_distance(spark, sf_dir):
     field = table(spark, sf_dir, "embeddings").select(C("vec_id").alias("g"), F.posexplode("embedding").alias("p", "v")).select("g", F.floor(C("p") / 8).alias("row"), (C("p") % 8).alias("col"), F.abs(C("v").cast("double")).alias("v"))
     rows = _weighted(spark, sf_dir).select("k", "n", (C("k") % 100).alias("g"), "x", "y")
-    # a waypoint is a key of its own
-    points = rows.withColumn("at", F.struct("k", "n"))
-    out = losses.bilinear(points.select("at", "g", "x", "y"), field, ["g"], C("x") / 4, C("y") + 4, 8, 8, "v")
-    return out.select("at.k", "at.n", F.round("sampled", 6).alias("distance"))
+    out = losses.bilinear(rows, field, ["g"], C("x") / 4, C("y") + 4, 8, 8, "v")
+    return out.select("k", "n", F.round("sampled", 6).alias("distance"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber AS mode, round(1e0 * l_quantity / 50 - 0.5e0 * l_discount - 0.25e0 * (1 - l_tax) - 0.3e0 * (1 - cos(radians(l_partkey % 360))), 9) AS score FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, mode) AS rank FROM s)

@@ -170,3 +170,16 @@ def test_the_nearest_at_a_corner_is_that_of_the_sql(spark):
     points = spark.createDataFrame([(k, k, *p) for k, p, *_ in found], "id int, line int, px double, py double")
     segs = spark.createDataFrame([s for k, _, a, b, c, _ in found for s in ((k, 1, *a, *b), (k, 2, *b, *c))], "line int, seq int, ax double, ay double, bx double, by double")
     assert {r.id: r.seq for r in joins.nearest_segment(points, segs, "id", "line", "px", "py").collect()} == {f[0]: f[-1] for f in found}
+
+
+def test_a_point_meets_its_grid_once(spark):
+    cells = spark.createDataFrame([(g, r, c, float(g * 100 + r * 4 + c)) for g in range(2) for r in range(4) for c in range(4) if (g, r, c) != (1, 0, 0)], "g int, row int, col int, v double")
+    points = spark.range(2000).select("id", (F.col("id") % 2).cast("int").alias("g"), (F.col("id") % 9 / 2).alias("x"), (F.col("id") % 7 / 2).alias("y"))
+    got, most = run(losses.bilinear(points, cells, ["g"], F.col("x"), F.col("y"), 4, 4, "v"))
+    v = lambda g, r, c: 0.0 if (g, r, c) == (1, 0, 0) else g * 100 + r * 4 + c
+    for r in got:
+        a, b = min(max(r.x - 0.5, 0), 3), min(max(r.y - 0.5, 0), 3)
+        i, j = int(a), int(b)
+        want = sum(abs(1 - k - (a - i)) * abs(1 - m - (b - j)) * v(r.g, min(i + k, 3), min(j + m, 3)) for k in (0, 1) for m in (0, 1))
+        assert abs(r.sampled - want) < 1e-9
+    assert len(got) == 2000 and most <= 2000
