@@ -6,6 +6,8 @@ import math
 from functools import reduce
 from operator import add
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -110,8 +112,37 @@ def trajectory_losses(waypoints: DataFrame, key: str, mode: str, weight: str, pe
     return by.groupBy(key).agg((F.sum("n") / F.greatest(F.max("w") * F.sum("s"), F.lit(1.0))).alias("loss"))
 
 
+def matched_losses(waypoints: DataFrame, key: str, mode: str, weight: str, displacement: Column, per: Column, unmatched: float) -> DataFrame:
+    """(key, mode, loss): the mode of ``match_modes`` and the loss of ``trajectory_losses`` from one pass of sums by mode."""
+    by = waypoints.groupBy(key, mode).agg(F.round(F.sum(displacement * C(weight)) / F.greatest(F.sum(weight), F.lit(1.0)), 9).alias("c"), F.sum(per * C(weight)).alias("l"), F.sum(weight).alias("w"))
+    all_ = by.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("c", C(mode).alias("g"), "l", "w"))).alias("_m"))
+    best = C("_m")[0]["g"]
+    share = lambda m: F.when(m["g"] == best, 1.0).otherwise(unmatched)
+    total = lambda f: F.aggregate("_m", F.lit(0.0), lambda a, m: a + f(m))
+    loss = total(lambda m: m["l"] * share(m)) / F.greatest(F.array_max(F.transform("_m", lambda m: m["w"])) * total(share), F.lit(1.0))
+    return all_.select(key, best.alias(mode), loss.alias("loss"))
+
+
+def worst_footprint(df: DataFrame, x: str, y: str, w: WindowSpec, length: Column, width: Column, loss: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """``df`` with the greatest loss(fx, fy) of each waypoint's ``footprint_points``, in its own row."""
+    rows = _tangents(df, x, y, w)
+    return rows.withColumn(name, F.greatest(*(loss(*_off(x, y, F.lit(i), F.lit(j), length, width)) for i in (-1, 0, 1) for j in (-1, 0, 1)))).drop("_tx", "_ty")
+
+
 def footprint_points(df: DataFrame, x: str, y: str, w: WindowSpec, length: Column, width: Column) -> DataFrame:
-    """Nine rows (fx, fy, i, j) a waypoint: a box along the trajectory's tangent, sampled at -1, 0 and 1 of its half sizes.
+    """Nine rows (fx, fy, i, j) a waypoint: a box along the trajectory's tangent, sampled at -1, 0 and 1 of its half sizes."""
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    rows = _tangents(df, x, y, w).withColumn("i", F.explode(step)).withColumn("j", F.explode(step))
+    fx, fy = _off(x, y, C("i"), C("j"), length, width)
+    return rows.withColumns({"fx": fx, "fy": fy}).drop("_tx", "_ty")
+
+
+def _off(x: str, y: str, i: Column, j: Column, length: Column, width: Column) -> tuple[Column, Column]:
+    return C(x) + i * length * C("_tx") - j * width * C("_ty"), C(y) + i * length * C("_ty") + j * width * C("_tx")
+
+
+def _tangents(df: DataFrame, x: str, y: str, w: WindowSpec) -> DataFrame:
+    """Adds ``_tx`` and ``_ty``, the trajectory's direction at each waypoint.
 
     The tangent at the first waypoint is the waypoint itself, in between that of both neighbours, at the last that of the
     last step; without length it points ahead.
@@ -120,12 +151,7 @@ def footprint_points(df: DataFrame, x: str, y: str, w: WindowSpec, length: Colum
     rows = df.withColumns({"_b": before, "_a": after})
     t = lambda c: F.when(C("_b").isNull(), C(c)).when(C("_a").isNull(), C(c) - C(f"_b.{c}")).otherwise(C(f"_a.{c}") - C(f"_b.{c}"))
     rows = rows.withColumns({"_tx": t(x), "_ty": t(y)}).withColumn("_n", F.sqrt(C("_tx") * C("_tx") + C("_ty") * C("_ty")))
-    rows = rows.withColumns({"_tx": F.when(C("_n") > 1e-6, C("_tx") / C("_n")).otherwise(1.0), "_ty": F.when(C("_n") > 1e-6, C("_ty") / C("_n")).otherwise(0.0)})
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    rows = rows.withColumn("i", F.explode(step)).withColumn("j", F.explode(step))
-    fx = C(x) + C("i") * length * C("_tx") - C("j") * width * C("_ty")
-    fy = C(y) + C("i") * length * C("_ty") + C("j") * width * C("_tx")
-    return rows.withColumns({"fx": fx, "fy": fy}).drop("_b", "_a", "_tx", "_ty", "_n")
+    return rows.withColumns({"_tx": F.when(C("_n") > 1e-6, C("_tx") / C("_n")).otherwise(1.0), "_ty": F.when(C("_n") > 1e-6, C("_ty") / C("_n")).otherwise(0.0)}).drop("_b", "_a", "_n")
 
 
 def outside(fx: Column, fy: Column, cx: Column, xs: tuple[float, float], ys: tuple[float, float]) -> Column:

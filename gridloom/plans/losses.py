@@ -110,9 +110,8 @@ def trajectory_matching(spark, sf_dir):
 ), f AS (SELECT k, n, x, x + i * 2.4e0 * tx - j * 1.1e0 * ty AS fx, y + i * 2.4e0 * ty + j * 1.1e0 * tx AS fy FROM v, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j))
 SELECT k, n, round(max(greatest(0 - x, 0) + greatest(fx - 30, 0) + greatest(-4 - fy, 0) + greatest(fy - 4, 0)), 6) + 0 AS loss FROM f GROUP BY k, n""")
 def boundary_overflow(spark, sf_dir):
-    points = losses.footprint_points(_weighted(spark, sf_dir), "x", "y", _order(), F.lit(2.4), F.lit(1.1))
-    worst = F.max(losses.outside(C("fx"), C("fy"), C("x"), (0.0, 30.0), (-4.0, 4.0)))
-    return points.groupBy("k", "n").agg((F.round(worst, 6) + 0.0).alias("loss"))
+    out = losses.worst_footprint(_weighted(spark, sf_dir), "x", "y", _order(), F.lit(2.4), F.lit(1.1), lambda fx, fy: losses.outside(fx, fy, C("x"), (0.0, 30.0), (-4.0, 4.0)), "loss")
+    return out.select("k", "n", (F.round("loss", 6) + 0.0).alias("loss"))
 
 
 @query(f"WITH {_TRACK} SELECT k, round(max(greatest((x - 18) * cos(0.3e0) + (y - 1) * sin(0.3e0) + 0.5e0, 0)) + 1e-10, 6) AS loss FROM w GROUP BY k")

@@ -183,3 +183,15 @@ def test_a_point_meets_its_grid_once(spark):
         want = sum(abs(1 - k - (a - i)) * abs(1 - m - (b - j)) * v(r.g, min(i + k, 3), min(j + m, 3)) for k in (0, 1) for m in (0, 1))
         assert abs(r.sampled - want) < 1e-9
     assert len(got) == 2000 and most <= 2000
+
+
+def test_a_footprint_makes_no_rows(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(18)
+    df = spark.createDataFrame([(k, n, n * 4.0 + rng.random(), rng.uniform(-5, 5)) for k in range(60) for n in range(8)], "k int, n int, x double, y double")
+    args = ("x", "y", Window.partitionBy("k").orderBy("n"), F.lit(2.4), F.lit(1.1))
+    loss = lambda fx, fy: losses.outside(fx, fy, F.col("x"), (0.0, 30.0), (-4.0, 4.0))
+    want = losses.footprint_points(df, *args).groupBy("k", "n").agg(F.max(loss(F.col("fx"), F.col("fy"))).alias("loss")).collect()
+    got, most = run(losses.worst_footprint(df, *args, loss, "loss").select("k", "n", "loss"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and most <= 480
