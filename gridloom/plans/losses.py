@@ -99,9 +99,8 @@ SELECT k, best.mode, round(sum(l * s) / greatest(max(w) * sum(s), 1) + 1e-9, 5)
 def trajectory_matching(spark, sf_dir):
     rows = _weighted(spark, sf_dir).withColumn("mode", F.explode(F.array(*map(F.lit, range(4)))))
     rows = rows.select("k", "n", "weight", "mode", (C("x") * (C("mode") - 1) * 0.1).alias("ex"), ((C("k") + C("mode")) % 3 - 1).cast("double").alias("ey"))
-    best = losses.match_modes(rows, "k", "mode", "weight", F.sqrt(C("ex") * C("ex") + C("ey") * C("ey")))
-    loss = losses.trajectory_losses(rows, "k", "mode", "weight", smooth_l1(C("ex")) + smooth_l1(C("ey")), best, 0.1)
-    return best.join(loss, "k").select("k", "mode", F.round(C("loss") + 1e-9, 5).alias("loss"))
+    out = losses.matched_losses(rows, "k", "mode", "weight", F.sqrt(C("ex") * C("ex") + C("ey") * C("ey")), smooth_l1(C("ex")) + smooth_l1(C("ey")), 0.1)
+    return out.select("k", "mode", F.round(C("loss") + 1e-9, 5).alias("loss"))
 
 
 @query(f"""WITH {_TRACK}, t AS (SELECT *, lag(x) OVER o AS bx, lag(y) OVER o AS by_, lead(x) OVER o AS ax, lead(y) OVER o AS ay FROM w WINDOW o AS (PARTITION BY k ORDER BY n)

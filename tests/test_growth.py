@@ -195,3 +195,14 @@ def test_a_footprint_makes_no_rows(spark):
     want = losses.footprint_points(df, *args).groupBy("k", "n").agg(F.max(loss(F.col("fx"), F.col("fy"))).alias("loss")).collect()
     got, most = run(losses.worst_footprint(df, *args, loss, "loss").select("k", "n", "loss"))
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and most <= 480
+
+
+def test_modes_and_losses_in_one_pass(spark):
+    rng = random.Random(21)
+    df = spark.createDataFrame([(k, g, rng.random(), rng.random() * 3) for k in range(50) for g in range(4) for _ in range(6)], "k int, g int, w double, e double")
+    best = losses.match_modes(df, "k", "g", "w", F.col("e"))
+    want = {r.k: (r.g, r.loss) for r in best.join(losses.trajectory_losses(df, "k", "g", "w", F.col("e") * F.col("e"), best, 0.1), "k").collect()}
+    out = losses.matched_losses(df, "k", "g", "w", F.col("e"), F.col("e") * F.col("e"), 0.1)
+    got = {r.k: (r.g, r.loss) for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
