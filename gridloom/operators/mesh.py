@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def distinct_faces(faces: DataFrame) -> DataFrame:
+    """Faces without repeated rows. They go to their tasks first: hardly any repeat, and to look for them in the order of the file takes memory for all that a task reads."""
+    return faces.repartition(int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "face").distinct()
+
+
 def edges(faces: DataFrame) -> DataFrame:
     """(u, v, n): undirected edges and the number of faces at each."""
     pair = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"))

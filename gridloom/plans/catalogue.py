@@ -511,7 +511,7 @@ def surface_coverage(spark, sf_dir):
 
 
 def _faces(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("face"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_orderkey").alias("c")).distinct()
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("face"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_orderkey").alias("c"))
 
 
 _FACES = "WITH f AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS face, l_partkey AS a, l_suppkey AS b, l_orderkey AS c FROM lineitem)"
@@ -520,13 +520,13 @@ _FACES = "WITH f AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS face, l_p
 @query(_FACES + """, e AS (SELECT least(a, b) AS u, greatest(a, b) AS v FROM f UNION ALL SELECT least(b, c), greatest(b, c) FROM f UNION ALL SELECT least(c, a), greatest(c, a) FROM f), n AS (SELECT u, v, count(*) AS n FROM e GROUP BY u, v)
 SELECT count(*) FILTER (WHERE n = 1) AS boundary, count(*) FILTER (WHERE n = 2) AS regular, count(*) FILTER (WHERE n > 2) AS non_manifold, count(*) = count(*) FILTER (WHERE n = 2) AS closed FROM n""")
 def edge_topology(spark, sf_dir):
-    return mesh.topology(_faces(spark, sf_dir))
+    return mesh.topology(mesh.distinct_faces(_faces(spark, sf_dir)))
 
 
 @query(_FACES + ", g AS (SELECT *, row_number() OVER (PARTITION BY list_sort([a, b, c]) ORDER BY face, a, b, c) AS rn FROM f WHERE a <> b AND b <> c AND a <> c) SELECT list_sort([a, b, c])[1] AS a, list_sort([a, b, c])[2] AS b, list_sort([a, b, c])[3] AS c, face FROM g WHERE rn = 1")
 def face_clean(spark, sf_dir):
     k = F.array_sort(F.array("a", "b", "c"))
-    return mesh.clean(_faces(spark, sf_dir)).select(k[0].alias("a"), k[1].alias("b"), k[2].alias("c"), "face")
+    return mesh.clean(mesh.distinct_faces(_faces(spark, sf_dir))).select(k[0].alias("a"), k[1].alias("b"), k[2].alias("c"), "face")
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / greatest(sum(l_quantity), 1), 4) AS mean FROM lineitem GROUP BY l_returnflag")

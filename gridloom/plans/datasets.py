@@ -136,8 +136,8 @@ _MESH = "f AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS face, l_partkey
 
 def _mesh(spark, sf_dir):
     k = C("o_orderkey")
-    faces = table(spark, sf_dir, "lineitem").select((C("l_orderkey") * 10 + C("l_linenumber")).alias("face"), C("l_partkey").alias("a"), C("l_suppkey").alias("b"), C("l_orderkey").alias("c")).distinct()
-    return faces, table(spark, sf_dir, "orders").select(k.alias("v"), (k % 37).cast("double").alias("x"), (k % 23).cast("double").alias("y"), (C("o_custkey") % 7).cast("double").alias("z"))
+    faces = table(spark, sf_dir, "lineitem").select((C("l_orderkey") * 10 + C("l_linenumber")).alias("face"), C("l_partkey").alias("a"), C("l_suppkey").alias("b"), C("l_orderkey").alias("c"))
+    return mesh.distinct_faces(faces), table(spark, sf_dir, "orders").select(k.alias("v"), (k % 37).cast("double").alias("x"), (k % 23).cast("double").alias("y"), (C("o_custkey") % 7).cast("double").alias("z"))
 
 
 @query(f"""WITH {_MESH}, j AS (SELECT f.*, vb.x - va.x AS ux, vb.y - va.y AS uy, vb.z - va.z AS uz, vc.x - va.x AS wx, vc.y - va.y AS wy, vc.z - va.z AS wz FROM f JOIN v va ON a = va.v JOIN v vb ON b = vb.v JOIN v vc ON c = vc.v

@@ -206,3 +206,10 @@ def test_modes_and_losses_in_one_pass(spark):
     got = {r.k: (r.g, r.loss) for r in out.collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_faces_go_to_their_tasks_before_repeats_are_sought(spark):
+    faces = spark.range(600).select((F.col("id") % 200).alias("face"), (F.col("id") % 200).alias("a"), (F.col("id") % 200 + 1).alias("b"), F.lit(9999).alias("c"))
+    got = mesh.distinct_faces(faces)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 200 and plan.index("HashAggregate") < plan.index("REPARTITION_BY_NUM") and plan.count("Exchange") == 1
