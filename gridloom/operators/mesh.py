@@ -50,7 +50,8 @@ def prune(faces: DataFrame, supported: DataFrame) -> DataFrame:
     """Faces whose three corners are all in ``supported`` (v)."""
     out = faces
     for k in "abc":
-        out = out.join(supported.select(F.col("v").alias(k)).distinct(), k, "left_semi")
+        # looked up by hash, so the faces aren't sorted anew for each corner
+        out = out.join(supported.select(F.col("v").alias(k)).hint("shuffle_hash"), k, "left_semi")
     return out.select(*faces.columns)
 
 

@@ -213,3 +213,10 @@ def test_faces_go_to_their_tasks_before_repeats_are_sought(spark):
     got = mesh.distinct_faces(faces)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 200 and plan.index("HashAggregate") < plan.index("REPARTITION_BY_NUM") and plan.count("Exchange") == 1
+
+
+def test_corners_are_looked_up_without_sorting(spark):
+    faces = spark.createDataFrame([(1, 1, 2, 3), (2, 1, 2, 4), (3, 3, 2, 1), (4, 5, 1, 2)], "face int, a int, b int, c int")
+    kept = mesh.prune(faces, spark.createDataFrame([(1,), (2,), (3,), (3,)], "v int"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.face for r in kept.collect()) == [1, 3] and "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortMerge", "Sort")
