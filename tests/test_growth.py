@@ -220,3 +220,23 @@ def test_corners_are_looked_up_without_sorting(spark):
     kept = mesh.prune(faces, spark.createDataFrame([(1,), (2,), (3,), (3,)], "v int"))
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.face for r in kept.collect()) == [1, 3] and "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortMerge", "Sort")
+
+
+def test_similar_routes_go_by_blocks(spark, monkeypatch):
+    """The same routes over many blocks, and a crowd whose similar pairs are too many to write."""
+    rng = random.Random(2)
+    routes = [(i, f"{rng.random():.9f}", *(rng.uniform(0, 12) for _ in range(4))) for i in range(1200)]
+    near = lambda a, b: math.dist(a[:2], b[:2]) <= 8 and math.dist(a[2:], b[2:]) <= 8
+    kept = []
+    for r in sorted(routes, key=lambda r: (r[1], r[0])):
+        if not any(near(r[2:], k[2:]) for k in kept):
+            kept.append(r)
+    monkeypatch.setattr(fusion, "BLOCK", 60, raising=False)
+    written = []
+    real = fusion.checkpointed
+    monkeypatch.setattr(fusion, "checkpointed", lambda df: written.append(real(df)) or written[-1])
+    df = spark.createDataFrame(routes, "r int, o string, sx double, sy double, ex double, ey double")
+    got = fusion.drop_similar(df, "r", "o", ["sx", "sy", "ex", "ey"], 8.0)
+    assert sorted(r.r for r in got.collect()) == sorted(r[0] for r in kept) and got.columns == df.columns
+    # similar pairs of all routes are some 300,000
+    assert max(w.count() for w in written) < 6000
