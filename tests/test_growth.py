@@ -240,3 +240,16 @@ def test_similar_routes_go_by_blocks(spark, monkeypatch):
     assert sorted(r.r for r in got.collect()) == sorted(r[0] for r in kept) and got.columns == df.columns
     # similar pairs of all routes are some 300,000
     assert max(w.count() for w in written) < 6000
+
+
+def test_a_pose_finds_its_route_point_in_its_row(spark):
+    from gridloom.operators import costs
+
+    states = spark.range(300).select((F.col("id") % 3).alias("drive"), F.col("id").alias("frame"), (F.col("id") * 0.7).alias("x"), (F.col("id") % 9 - 4.0).alias("y"), F.lit(2.4).alias("ex"), F.lit(1.0).alias("ey"), F.lit(0.0).alias("yaw"))
+    route = spark.range(50).select((F.col("id") % 2).alias("drive"), F.floor(F.col("id") / 2).alias("seq"), F.floor(F.col("id") / 2) * 10.0, F.lit(0.0), F.floor(F.col("id") / 2) * 10.0, F.lit(0.0), F.lit(3.5)).toDF("drive", "seq", "rx", "ry", "arc", "ryaw", "width")
+    got, most = run(costs.on_route(states, route, ["drive", "frame"], "drive", costs.Limits()))
+    assert len(got) == 200 and most <= 300
+    for r in got:
+        x, y = r.frame * 0.7, r.frame % 9 - 4.0
+        far = lambda px, py: min((math.hypot(px - 10 * k, py), k) for k in range(25))
+        assert r.near.seq == far(x, y)[1] and abs(r.overflow - max(max(0.0, far(x + i * 2.4, y + j)[0] - 2.25) for i in (-1, 1) for j in (-1, 1))) < 1e-9
